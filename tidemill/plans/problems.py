@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import column_profile, strict_load, unit_graph
+from tidemill.operators import column_profile, schema_drift, strict_load, unit_graph
 from tidemill.session import table
 
 # The 20 canonical fields of a feed row.
@@ -74,5 +74,21 @@ def p4_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("load").alias("feed_id"), "field_name", F.round("ks", 6).alias("ks"), F.round("shift", 6).alias("shift"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_converted, p1_unusable, p3_found, p3_loaded, p4_found, p4_profile, p4_distances)}
+# ---------------------------------------------------------- 5: schema drift
+def _originals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = table(spark, sf_dir, "feed_file").where(F.col("kind") == "original").select("feed_id", "series_id", "received_at")
+    return table(spark, sf_dir, "feed_original"), files, table(spark, sf_dir, "header_alias")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.drift(*_originals(spark, sf_dir)).where(F.col("drift").isNotNull()).select("feed_id", "header", "drift")
+
+
+def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, files, aliases = _originals(spark, sf_dir)
+    return schema_drift.unified(rows, schema_drift.drift(rows, files, aliases), FIELDS).withColumn("extra", F.to_json("extra"))
+
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_converted, p1_unusable, p3_found, p3_loaded, p4_found, p4_profile, p4_distances, p5_found, p5_unified)}
 SQL: dict[str, str] = {}
