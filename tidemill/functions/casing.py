@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemill.functions.text import let
+
 _EDGE = r"""[.,()\[\]"']"""
 
 
@@ -34,29 +36,32 @@ def title_case(c: Column, acronyms: Mapping[str, str] | None = None, minor_words
         return out.otherwise(F.concat(F.upper(F.left(core, F.lit(1))), F.lower(F.substring(core, 2, 2**31 - 1))))
 
     def word(w: Column, first: Column, last: Column, seps: tuple[str, ...]) -> Column:
-        head = F.regexp_extract(w, f"^({_EDGE}*)", 1)
-        core = F.regexp_replace(w, f"^{_EDGE}+|{_EDGE}+$", "")
-        tail = F.substring(w, F.length(head) + F.length(core) + 1, F.length(w))
+        edges = F.struct(
+            F.regexp_extract(w, f"^({_EDGE}*)", 1).alias("head"),
+            F.regexp_replace(w, f"^{_EDGE}+|{_EDGE}+$", "").alias("core"),
+        )
+
+        def part(rest: tuple[str, ...]):
+            # after the first part a part counts as an inner word of the title
+            return lambda p, j: word(p, first & (j == 0), last & (j == 0), rest)
 
         def cased(k: Column) -> Column:
             out = None
             for i, sep in enumerate(seps):
                 inner = F.contains(F.regexp_replace(k, f"^{sep}+|{sep}+$", ""), F.lit(sep))
-                # after the first part a part counts as an inner word of the title
-                parts = F.transform(
-                    F.split(k, sep),
-                    lambda p, j, rest=seps[i + 1 :]: word(p, first & (j == 0), last & (j == 0), rest),
-                )
-                joined = F.array_join(parts, sep)
+                joined = F.array_join(F.transform(F.split(k, sep), part(seps[i + 1 :])), sep)
                 out = F.when(inner, joined) if out is None else out.when(inner, joined)
             plain = leaf(k, first, last)
             out = plain if out is None else out.otherwise(plain)
             return F.coalesce(F.try_element_at(known, F.lower(k)), out) if known is not None else out
 
-        return F.when(core == "", w).otherwise(F.concat(head, cased(core), tail))
+        def put_back(x: Column) -> Column:
+            tail = F.substring(w, F.length(x["head"]) + F.length(x["core"]) + 1, F.length(w))
+            return F.when(x["core"] == "", w).otherwise(F.concat(x["head"], cased(x["core"]), tail))
+
+        return let(edges, put_back)
+
+    def whole(words: Column) -> Column:
+        return F.array_join(F.transform(words, lambda w, i: word(w, i == 0, i == F.size(words) - 1, ("-", "/"))), " ")
 
-    words = F.split(c, " ")
-    total = F.size(words)
-    return F.array_join(
-        F.transform(words, lambda w, i: word(w, i == 0, i == total - 1, ("-", "/"))), " "
-    )
+    return let(F.split(c, " "), whole)
