@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import language, survivors, vocab_match
+from tidemill.llm import language, mixing, packing, survivors, vocab_match
+from tidemill.llm.tokens import token_counts
 from tidemill.session import table
 
 # The 20 canonical fields of a feed row, and those the survivor ladder uses.
@@ -50,6 +51,35 @@ def p6_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir).drop("identical")
 
 
+# ---------------------------------------------------------------- 7: packing
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[int, int]]:
+    sizes = {r["pack_id"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_size").collect()}  # a fixed, small table
+    return packing.pack(token_counts(table(spark, sf_dir, "documents")), sizes), sizes
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)[0]
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed, sizes = _packed(spark, sf_dir)
+    return packing.fill(packed, sizes).withColumn("fill", F.round("fill", 6))
+
+
+# ----------------------------------------------------------------- 8: mixing
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = {r["source"]: mixing.Target(r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "mix_target").collect()}  # fixed and small
+    return mixing.mixture(token_counts(table(spark, sf_dir, "documents"), keep=("source",)), targets)[0]
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_target")).withColumn("actual_share", F.round("actual_share", 6))
+
+
 # -------------------------------------------------------------- 9: languages
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = language.segments(table(spark, sf_dir, "documents"))
@@ -63,5 +93,5 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p6_found, p6_golden, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p6_found, p6_golden, p7_packed, p7_fill, p8_mixture, p8_shares, p9_found, p9_segments)}
 SQL: dict[str, str] = {}
