@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import column_profile, schema_drift, strict_load, unit_graph
-from tidemill.session import table
+from tidemill.session import checkpointed, table
 
 # The 20 canonical fields of a feed row.
 FIELDS = (
@@ -54,7 +54,7 @@ def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, pairs = _log(spark, sf_dir)
-    counts = column_profile.value_counts(log, LOG_COLUMNS, "feed_id")
+    counts = checkpointed(column_profile.value_counts(log, LOG_COLUMNS, "feed_id"))  # the log is read once
     return column_profile.findings(counts, pairs, LOG_FORMS).select(F.col("load").alias("feed_id"), "field_name", "finding")
 
 
@@ -91,4 +91,22 @@ def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_converted, p1_unusable, p3_found, p3_loaded, p4_found, p4_profile, p4_distances, p5_found, p5_unified)}
-SQL: dict[str, str] = {}
+
+_LISTED = ", ".join(f"'{f}'" for f in FIELDS)
+_COUNTS = """WITH u AS (SELECT feed_id, 'rule' AS field_name, rule AS value FROM change_log UNION ALL SELECT feed_id, 'outcome', outcome FROM change_log UNION ALL SELECT feed_id, 'field', field FROM change_log),
+v AS (SELECT feed_id, field_name, CASE WHEN trim(value) = '' THEN NULL ELSE value END AS value FROM u),
+c AS (SELECT feed_id, field_name, value, count(*) AS n FROM v GROUP BY ALL),
+t AS (SELECT feed_id, field_name, sum(n) AS n_rows, coalesce(sum(n) FILTER (value IS NULL), 0) AS blanks FROM c GROUP BY ALL),
+p AS (SELECT feed_id, lag(feed_id) OVER (PARTITION BY series_id ORDER BY received_at, feed_id) AS before FROM feed_file),
+s AS (SELECT c.feed_id, c.field_name, value, n / (n_rows - blanks) AS share FROM c JOIN t ON c.feed_id = t.feed_id AND c.field_name = t.field_name WHERE value IS NOT NULL),
+d AS (SELECT feed_id, field_name, value, sum(part) AS step, max(part > 0) AS new, max(part < 0) AS old FROM
+(SELECT feed_id, field_name, value, share AS part FROM s UNION ALL SELECT p.feed_id, field_name, value, -share FROM s JOIN p ON s.feed_id = p.before) GROUP BY ALL),
+k AS (SELECT feed_id, field_name FROM d GROUP BY ALL HAVING max(new) AND max(old)),
+e AS (SELECT feed_id, field_name, max(abs(upto)) AS ks, sum(abs(step)) / 2 AS shift FROM (SELECT *, sum(step) OVER (PARTITION BY feed_id, field_name ORDER BY value) AS upto FROM d SEMI JOIN k USING (feed_id, field_name)) GROUP BY ALL)"""
+SQL: dict[str, str] = {
+    "p4_distances": f"{_COUNTS} SELECT feed_id, field_name, round(ks, 6) AS ks, round(shift, 6) AS shift FROM e WHERE feed_id IN (SELECT feed_id FROM p WHERE before IS NOT NULL)",
+    "p4_found": f"""{_COUNTS} SELECT DISTINCT feed_id, field_name, 'bad_form' AS finding FROM c WHERE value IS NOT NULL AND NOT CASE field_name WHEN 'rule' THEN regexp_full_match(value, '[a-z_]+[.][a-z_]+')
+WHEN 'outcome' THEN value IN ('changed', 'unresolved', 'dropped') ELSE value IN ({_LISTED}) END
+UNION ALL SELECT t.feed_id, t.field_name, 'blank_rise' FROM t JOIN p ON t.feed_id = p.feed_id JOIN t b ON b.feed_id = p.before AND b.field_name = t.field_name WHERE t.blanks / t.n_rows - b.blanks / b.n_rows >= 0.1 - 1e-9
+UNION ALL SELECT feed_id, field_name, 'value_shift' FROM e WHERE shift >= 0.25 - 1e-9""",
+}
