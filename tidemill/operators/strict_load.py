@@ -72,7 +72,8 @@ def header_positions(files: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def _read(records: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
     heads = header_positions(files, aliases).withColumnRenamed("feed_id", "__feed")
-    joined = records.join(small_side(heads), F.col("feed_id") == F.col("__feed"), "left").drop("__feed")
+    needed = records.select("record_id", "feed_id", "line", "raw_text")
+    joined = needed.join(small_side(heads), F.col("feed_id") == F.col("__feed"), "left").drop("__feed")
     return joined.withColumn("__rec", csv_record(F.col("raw_text")))
 
 

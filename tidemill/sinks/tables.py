@@ -10,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import clip, looks_numeric
+from tidemill.functions.numbers import looks_numeric
+from tidemill.functions.text import clip
 
 _FORMAT = {"header": True, "escape": '"', "lineSep": "\r\n", "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 

@@ -51,7 +51,7 @@ def sheet_cells(path: str | Path, sheet: str | None = None) -> list[list[str]]:
         if "xl/styles.xml" in names:
             styles = tree("xl/styles.xml")
             own = {f.get("numFmtId"): f.get("formatCode") for f in styles.iter(f"{_MAIN}numFmt")} | {"1": "0", "2": "0.00", "3": "#,##0", "4": "#,##0.00"}
-            formats = [own.get(x.get("numFmtId"), "") for x in styles.find(f"{_MAIN}cellXfs") or ()]
+            formats = [own.get(x.get("numFmtId"), "") for x in styles.iterfind(f"{_MAIN}cellXfs/{_MAIN}xf")]
         target = sheets[name]
         where = target.lstrip("/") if target.startswith("/") else posixpath.join("xl", target)
         out = []
