@@ -284,16 +284,17 @@ def segments(documents: DataFrame, key: str = "doc_id", text: str = "text", lang
 
     doc_id, code (what its label names, or null), segment, n_sentences, lang, confidence (mean of
     the sentences), chars, text. A document without a full sentence gives one row with a null
-    lang. Whole texts are read, of any length; null and empty texts have no sentences.
+    lang, and so does every document if no label of the table names a language. Whole texts are read, of any length; null and empty texts have no sentences.
     """
     if model is None:
-        model = fit(sample(documents, text, lang))
+        samples = sample(documents, text, lang)
+        model = fit(samples) if any(samples.values()) else Model(np.zeros((FEATURES, 0), np.float32), np.zeros(0, np.float32), [])
     shipped = documents.sparkSession.sparkContext.broadcast(vars(model))
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(**shipped.value)
         for batch in batches:
-            found = [sentences(t) for t in batch["text"]]
+            found = [sentences(t) if m.families else [] for t in batch["text"]]
             flat = [plain(s) for ss in found for _, s in ss]
             langs, sure = m.predict(flat)
             out, at = [], 0

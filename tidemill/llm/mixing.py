@@ -117,7 +117,7 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     by = mixed.groupBy(F.col("source").alias("__s")).agg(
         F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens")
     )
-    joined = targets.join(by, F.col("source") == F.col("__s"), "left")
+    joined = targets.select("source", "target_share", "max_repeats").join(by, F.col("source") == F.col("__s"), "left")
     joined = joined.withColumn("__all", F.sum("tokens").over(Window.partitionBy(F.lit(0))))  # one row per target
     return joined.select(
         "source", "target_share", "max_repeats",
