@@ -42,6 +42,8 @@ SAMPLE_CHARS = 20_000
 #: Size of the hashed feature space.
 FEATURES = 1 << 12
 ORDERS = (1, 2, 3, 4)
+#: Characters scored at a time; bounds a worker's memory.
+CHUNK_CHARS = 5_000
 
 
 def label_code(label: Column) -> Column:
@@ -130,12 +132,23 @@ class Model:
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        """Decision values, worked out for CHUNK_CHARS characters at a time whatever the batch."""
+        out, start, size = [np.zeros((0, self.weights.shape[1]), dtype=np.float32)], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= CHUNK_CHARS or i == len(texts) - 1:
+                out.append(self._scores(texts[start : i + 1]))
+                start, size = i + 1, 0
+        return np.vstack(out)
+
+    def _scores(self, texts: list[str]) -> np.ndarray:
         f, o = ngrams(texts)
-        count = np.bincount(o, minlength=len(texts)).astype(np.float32)
-        out = np.empty((len(texts), self.weights.shape[1]), dtype=np.float32)
-        for k in range(self.weights.shape[1]):
-            out[:, k] = np.bincount(o, weights=self.weights[f, k], minlength=len(texts))
-        return out * (SCALE / np.maximum(1.0, count))[:, None] + self.bias
+        count = np.bincount(o, minlength=len(texts))
+        order = np.argsort(o, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(count)[:-1]])
+        sums = np.add.reduceat(self.weights[f[order]], np.minimum(starts, max(0, len(f) - 1)), axis=0) if len(f) else np.zeros((len(texts), self.weights.shape[1]))
+        sums[count == 0] = 0
+        return (sums * (SCALE / np.maximum(1, count))[:, None] + self.bias).astype(np.float32)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and confidence of each text; the confidence is the chance implied by the closest decision."""
