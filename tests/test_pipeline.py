@@ -50,7 +50,7 @@ def test_ladder_rungs(spark):
     assert (g["v"]["title"], g["v"]["vendor"], g["v"]["image_url"], g["backfills"]) == ("Kept words", "Quillmark Tools", "https://i.example/x", 3)
     fills = [(c["field"], c["before"], c["after"], c["note"]) for c in g["changes"] if c["rule"] == "dedupe.backfill"]
     assert ("image_url", "", "https://i.example/x", "was empty, from line 17") in fills
-    assert got[8]["issues"][0]["rule"] == "duplicate_unresolved" and "title P q vs P r" in got[8]["issues"][0]["message"]
+    assert got[8]["issues"][0]["rule"] == "duplicate_unresolved" and "differ in title (" in got[8]["issues"][0]["message"]
 
 
 def test_run_conserves_rows_and_logs_everything(spark):

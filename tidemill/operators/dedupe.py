@@ -25,6 +25,8 @@ BACKFILL = ("title", "vendor", "product_type", "barcode", "weight_g", *EDGES, "i
 REASONS = ("identical", "newest updated_at", "more complete", "more columns populated", "unresolved tie")
 #: Fields that disagree which a tie's message names.
 SHOWN = 3
+#: Bits for the count of filled cells, and for the line number, in a packed rank.
+LINE_BITS = (20, 53)
 
 
 def _text(f: str) -> Column:
@@ -38,47 +40,50 @@ def _count(columns) -> Column:
 
 def ladder(rows: DataFrame, key: str = "sku_key") -> DataFrame:
     """One row per key held by two rows or more: n_rows, reason, winner (line, null if tied), first and
-    last line, conflicts (fields that disagree, in order), filled struct<line, value> per field to fill from."""
+    last line, conflicts (fields that disagree, in order), filled struct<line, value> per field to fill from.
+
+    Lines are 0 to 2**53 - 1.
+    """
     every = [*COMPARE, "sku", "updated_at", *HIDDEN]
-    at = F.coalesce(iso_seconds(F.col("v.updated_at")), F.lit(-1))
-    core = _count(_text(f) for f in CORE)
-    whole = _count(_text(f) for f in every) + F.size(F.filter(F.map_values("extra"), lambda x: x != ""))
+    at = F.coalesce(iso_seconds(F.col("v.updated_at")), F.lit(-1)) + 1
+    whole = _count(_text(f) for f in every) + F.coalesce(F.size(F.filter(F.map_values("extra"), lambda x: x != "")), F.lit(0))
     extras = F.to_json(F.array_sort(F.transform(F.map_entries("extra"), lambda e: F.struct(e["key"], e["value"]))))
-    same = [*map(_text, COMPARE), F.coalesce(extras, F.lit(""))]
-    ranked = rows.where(F.col(key) != "").select(
-        key, "line", "v", at.alias("__at"), core.alias("__core"), F.coalesce(whole, F.lit(0)).alias("__all"),
-        F.xxhash64(*same).alias("__h1"), F.xxhash64(F.lit("second"), *reversed(same)).alias("__h2"),
+    # a field's cells are told apart by 64-bit hashes, whole rows by two of them over all cells
+    hashes = {f: F.xxhash64(_text(f)) for f in COMPARE}
+    own = F.coalesce(F.xxhash64(extras), F.lit(0))
+    # rank and line in one number: what is highest also says where; sums of powers of two keep the order of their parts
+    ranks = {"a": at, "b": at * 2**3 + _count(_text(f) for f in CORE)}
+    ranks["c"] = ranks["b"] * 2**LINE_BITS[0] + F.least(whole, F.lit(2 ** LINE_BITS[0] - 1))
+    placed = {n: r.cast("decimal(38,0)") * F.lit(2 ** LINE_BITS[1]).cast("decimal(20,0)") for n, r in ranks.items()}
+    base = rows.where(F.col(key) != "").select(
+        key, "line", *[h.alias(f"__h_{f}") for f, h in hashes.items()], own.alias("__h_extra"),
+        *[(p + F.col("line")).cast("decimal(38,0)").alias(f"__up_{n}") for n, p in placed.items()],
+        *[(p - F.col("line")).cast("decimal(38,0)").alias(f"__down_{n}") for n, p in placed.items()],
+        *[F.when(_text(f) != "", F.struct("line", F.col(f"v.{f}").alias("value"))).alias(f"__f_{f}") for f in BACKFILL],
     )
-    prefixes = {"a": ["__at"], "b": ["__at", "__core"], "c": ["__at", "__core", "__all"]}
-    tops = []
-    for name, cols in prefixes.items():
-        tops.append(F.max(F.struct(*cols, "line"))["line"].alias(f"__high_{name}"))
-        tops.append((-F.max(F.struct(*cols, (-F.col("line")).alias("line")))["line"]).alias(f"__low_{name}"))
+    compared = [*[f"__h_{f}" for f in COMPARE], "__h_extra"]
+    ranked = base.withColumns({"__h1": F.xxhash64(*compared), "__h2": F.xxhash64(F.lit("second"), *reversed(compared))})
     one = ranked.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min("line").alias("first_line"),
         F.max("line").alias("last_line"),
-        *[f(h).alias(f"{h}_{n}") for h in ("__h1", "__h2") for n, f in (("min", F.min), ("max", F.max))],
-        *tops,
-        *[F.min(_text(f)).alias(f"__min_{f}") for f in COMPARE],
-        *[F.max(_text(f)).alias(f"__max_{f}") for f in COMPARE],
-        F.struct(*[F.min(F.when(_text(f) != "", F.struct("line", F.col(f"v.{f}").alias("value")))).alias(f) for f in BACKFILL]).alias("filled"),
+        *[f(h).alias(f"{h}_{n}") for h in ("__h1", "__h2", *compared) for n, f in (("min", F.min), ("max", F.max))],
+        *[F.max(f"__{way}_{n}").alias(f"__{way}_{n}") for n in ranks for way in ("up", "down")],
+        *[F.min(f"__f_{f}").alias(f"__f_{f}") for f in BACKFILL],
     )
     one = one.where(F.col("n_rows") > 1)
     identical = (F.col("__h1_min") == F.col("__h1_max")) & (F.col("__h2_min") == F.col("__h2_max"))
-    alone = {n: F.col(f"__high_{n}") == F.col(f"__low_{n}") for n in prefixes}
+    scale = F.lit(2 ** LINE_BITS[1]).cast("decimal(20,0)")
+    # of the rows at the highest rank: the highest line, and the lowest
+    high = {n: (F.col(f"__up_{n}") % scale).cast("bigint") for n in ranks}
+    low = {n: F.when(F.col(f"__down_{n}") % scale == 0, F.lit(0)).otherwise((scale - F.col(f"__down_{n}") % scale).cast("bigint")) for n in ranks}
+    alone = {n: high[n] == low[n] for n in ranks}
     reason = F.when(identical, REASONS[0]).when(alone["a"], REASONS[1]).when(alone["b"], REASONS[2]).when(alone["c"], REASONS[3]).otherwise(REASONS[4])
-    shown = lambda c: F.when(c == "", F.lit("(empty)")).otherwise(c)
-    conflicts = F.array_compact(
-        F.array(*[
-            F.when(F.col(f"__min_{f}") != F.col(f"__max_{f}"), F.struct(F.lit(f).alias("field"), F.concat(shown(F.col(f"__min_{f}")), F.lit(" vs "), shown(F.col(f"__max_{f}"))).alias("values")))
-            for f in COMPARE
-        ])
-    )
+    conflicts = F.array_compact(F.array(*[F.when(F.col(f"__h_{f}_min") != F.col(f"__h_{f}_max"), F.lit(f)) for f in COMPARE]))
     return one.select(
         key, "n_rows", reason.alias("reason"),
-        F.when(identical, F.col("first_line")).when(alone["c"], F.col("__high_c")).alias("winner"),
-        "first_line", "last_line", conflicts.alias("conflicts"), "filled",
+        F.when(identical, F.col("first_line")).when(alone["c"], high["c"]).alias("winner"),
+        "first_line", "last_line", conflicts.alias("conflicts"), F.struct(*[F.col(f"__f_{f}").alias(f) for f in BACKFILL]).alias("filled"),
     )
 
 
@@ -101,7 +106,7 @@ def deduplicate(rows: DataFrame, backfill: bool = True) -> DataFrame:
     kept, tied = F.col("role") == "kept", F.col("role") == "tied"
     fills = {f: kept & (_text(f) == "") & F.col(f"filled.{f}").isNotNull() if backfill else F.lit(False) for f in BACKFILL}
     line = F.col("winner").cast("string")
-    named = F.array_join(F.transform(F.slice("conflicts", 1, SHOWN), lambda c: F.concat(c["field"], F.lit(" "), c["values"])), "; ")
+    named = F.concat(F.array_join(F.slice("conflicts", 1, SHOWN), ", "), F.when(F.size("conflicts") > SHOWN, F.lit(" and more")).otherwise(F.lit("")))
     span = F.concat(F.lit("lines "), F.col("first_line").cast("string"), F.lit(" to "), F.col("last_line").cast("string"))
     count = F.col("n_rows").cast("string")
     events = [
@@ -113,7 +118,7 @@ def deduplicate(rows: DataFrame, backfill: bool = True) -> DataFrame:
             for f, on in fills.items()
         ],
     ]
-    message = F.concat(count, F.lit(" rows are equally new and complete but differ: "), named, F.lit(" ("), span, F.lit(")"))
+    message = F.concat(count, F.lit(" rows are equally new and complete but differ in "), named, F.lit(" ("), span, F.lit(")"))
     clash = F.when(tied, issue("duplicate_unresolved", "", message, REJECT))
     v = F.col("v")
     for f in BACKFILL:

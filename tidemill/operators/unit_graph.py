@@ -142,7 +142,7 @@ def read_amount(c: Column) -> Column:
             x = F.replace(x, F.lit(sign), F.lit(f" {text}"))
         return let(
             F.split(F.regexp_replace(x, frac, "$1:$2:$3"), ":"),
-            lambda p: F.coalesce(F.get(p, F.lit(0)).try_cast("double"), F.lit(0.0))
+            lambda p: F.coalesce(F.nullif(F.get(p, F.lit(0)), F.lit("")).try_cast("double"), F.lit(0.0))
             + F.try_divide(F.get(p, F.lit(1)).try_cast("double"), F.get(p, F.lit(2)).try_cast("double")),
         )
 
