@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.codes import iso_seconds
 from tidemill.functions.text import fold
 from tidemill.operators.normalize import CHANGE, CHANGED, DROPPED, EDGES, HIDDEN, REJECT, change, issue
+from tidemill.session import checkpointed
 
 # Fields that must agree, those counted first, and those filled from other rows.
 COMPARE = (
@@ -94,7 +95,8 @@ def deduplicate(rows: DataFrame, backfill: bool = True) -> DataFrame:
     merged. Tied rows stay and carry a rejection. Two rows of one line number and sku are tied at
     best.
     """
-    keyed = rows.withColumn("sku_key", fold(F.col("sku")))
+    # read twice, by the ladder and by the join; parsing again would cost more than reading back
+    keyed = checkpointed(rows.withColumn("sku_key", fold(F.col("sku"))))
     groups = ladder(keyed).withColumnRenamed("sku_key", "__key")
     joined = keyed.join(groups, F.col("sku_key") == F.col("__key"), "left")
     grouped, won = F.col("__key").isNotNull(), F.col("winner") == F.col("line")

@@ -103,7 +103,11 @@ d AS (SELECT feed_id, field_name, value, sum(part) AS step, max(part > 0) AS new
 (SELECT feed_id, field_name, value, share AS part FROM s UNION ALL SELECT p.feed_id, field_name, value, -share FROM s JOIN p ON s.feed_id = p.before) GROUP BY ALL),
 k AS (SELECT feed_id, field_name FROM d GROUP BY ALL HAVING max(new) AND max(old)),
 e AS (SELECT feed_id, field_name, max(abs(upto)) AS ks, sum(abs(step)) / 2 AS shift FROM (SELECT *, sum(step) OVER (PARTITION BY feed_id, field_name ORDER BY value) AS upto FROM d SEMI JOIN k USING (feed_id, field_name)) GROUP BY ALL)"""
+_QUARTILES = ", ".join(f"list_sort(list(value) FILTER (value IS NOT NULL))[CAST(greatest(ceil(count(value) * {q}), 1) AS BIGINT)] AS quartile_{i}" for i, q in ((1, 0.25), (2, 0.5), (3, 0.75)))
+_BROKEN = f"""NOT CASE field_name WHEN 'rule' THEN regexp_full_match(value, '[a-z_]+[.][a-z_]+') WHEN 'outcome' THEN value IN ('changed', 'unresolved', 'dropped') ELSE value IN ({_LISTED}) END"""
 SQL: dict[str, str] = {
+    "p4_profile": f"""{_COUNTS} SELECT feed_id, field_name, count(*) AS rows, count(*) - count(value) AS blanks, count(DISTINCT value) AS distinct_values, min(value) AS min_value, max(value) AS max_value,
+count(*) FILTER (value IS NOT NULL AND {_BROKEN}) AS bad_form, {_QUARTILES} FROM v GROUP BY feed_id, field_name""",
     "p4_distances": f"{_COUNTS} SELECT feed_id, field_name, round(ks, 6) AS ks, round(shift, 6) AS shift FROM e WHERE feed_id IN (SELECT feed_id FROM p WHERE before IS NOT NULL)",
     "p4_found": f"""{_COUNTS} SELECT DISTINCT feed_id, field_name, 'bad_form' AS finding FROM c WHERE value IS NOT NULL AND NOT CASE field_name WHEN 'rule' THEN regexp_full_match(value, '[a-z_]+[.][a-z_]+')
 WHEN 'outcome' THEN value IN ('changed', 'unresolved', 'dropped') ELSE value IN ({_LISTED}) END
