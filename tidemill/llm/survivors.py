@@ -83,7 +83,7 @@ def survivors(
         F.max(F.struct(rank.alias("rank"), (-F.col("__row")).alias("row"))).alias("__low"),
         F.min(F.struct("__line", F.col("__row").alias("row"))).alias("__first"),
         *[f(c).alias(f"{c}_{n}") for c in same for n, f in (("a", F.min), ("b", F.max))],
-        *[F.max(f"__v_{f}").isNotNull().alias(f"__any_{f}") for f in ladder.backfill],
+        *[F.bool_or(F.col(f"__v_{f}").isNotNull()).alias(f"__any_{f}") for f in ladder.backfill],
         *attributes,
     )
     one = one.where(F.col("n_rows") > 1)
