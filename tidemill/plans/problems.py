@@ -86,7 +86,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, files, aliases = _originals(spark, sf_dir)
-    return schema_drift.unified(rows, schema_drift.drift(rows, files, aliases), FIELDS).withColumn("extra", F.to_json("extra"))
+    return schema_drift.unified(rows, schema_drift.drift(rows, files, aliases), FIELDS).withColumns(
+        {"extra": F.to_json("extra"), "odd": F.to_json("odd")}
+    )
 
 
 
