@@ -107,7 +107,29 @@ k AS (SELECT feed_id, field_name FROM d GROUP BY ALL HAVING max(new) AND max(old
 e AS (SELECT feed_id, field_name, max(abs(upto)) AS ks, sum(abs(step)) / 2 AS shift FROM (SELECT *, sum(step) OVER (PARTITION BY feed_id, field_name ORDER BY value) AS upto FROM d SEMI JOIN k USING (feed_id, field_name)) GROUP BY ALL)"""
 _QUARTILES = ", ".join(f"list_sort(list(value) FILTER (value IS NOT NULL))[CAST(greatest(ceil(count(value) * {q}), 1) AS BIGINT)] AS quartile_{i}" for i, q in ((1, 0.25), (2, 0.5), (3, 0.75)))
 _BROKEN = f"""NOT CASE field_name WHEN 'rule' THEN regexp_full_match(value, '[a-z_]+[.][a-z_]+') WHEN 'outcome' THEN value IN ('changed', 'unresolved', 'dropped') ELSE value IN ({_LISTED}) END"""
+# the CSV grammar has no look-around, so RE2 can state it; a money cell is what is left once its currency is taken out
+_CELL = """("([^"]|"")*"|[^",]*)"""
+_FOLDED = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_DIGIT = "(10 - list_sum(list_transform(range(1, length(b)), lambda i: CAST(substr(b, CAST(length(b) - i AS INTEGER), 1) AS INTEGER) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) % 10) % 10"
+_P3 = f"""WITH h AS (SELECT feed_id, list_transform(regexp_extract_all(',' || header, ',{_CELL}', 1), lambda c: {_FOLDED.format('c')}) AS heads FROM feed_file WHERE kind = 'raw'),
+a AS (SELECT list({_FOLDED.format('header')}) FILTER (field = 'price') AS prices, list({_FOLDED.format('header')}) FILTER (field = 'barcode') AS barcodes FROM header_alias),
+w AS (SELECT feed_id, len(heads) AS width, list_max(list_filter(range(1, len(heads) + 1), lambda i: list_contains(prices, heads[i]))) AS at_price,
+list_max(list_filter(range(1, len(heads) + 1), lambda i: list_contains(barcodes, heads[i]))) AS at_code FROM h, a),
+r AS (SELECT record_id, w.*, regexp_full_match(raw_text, '{_CELL}(,{_CELL})*') AS sound,
+list_transform(regexp_extract_all(',' || raw_text, ',{_CELL}', 1), lambda c: CASE WHEN starts_with(c, '"') THEN replace(substr(c, 2, length(c) - 2), '""', '"') ELSE c END) AS cells FROM raw_record JOIN w USING (feed_id)),
+g AS (SELECT record_id, trim(cells[at_price]) AS price, trim(cells[at_code]) AS code FROM r WHERE sound AND len(cells) = width),
+m AS (SELECT record_id, price, code, regexp_replace(upper(price), '(^|[^A-Z])(USD|EUR|GBP|JPY|CAD|AUD|NZD|CHF|SEK)($|[^A-Z])', '\\1 \\3') AS u, replace(replace(code, '-', ''), ' ', '') AS b FROM g),
+s AS (SELECT *, trim(CASE WHEN contains(u, 'US$') THEN replace(u, 'US$', ' ') WHEN contains(u, 'C$') THEN replace(u, 'C$', ' ') WHEN contains(u, 'A$') THEN replace(u, 'A$', ' ')
+WHEN contains(u, '$') THEN replace(u, '$', ' ') WHEN contains(u, '£') THEN replace(u, '£', ' ') WHEN contains(u, '€') THEN replace(u, '€', ' ') ELSE replace(u, '¥', ' ') END) AS x FROM m),
+n AS (SELECT *, regexp_replace(ltrim(CASE WHEN starts_with(x, '-') THEN substr(x, 2) ELSE x END), '([0-9]) ([0-9][0-9][0-9])($|[^0-9])', '\\1\\2\\3', 'g') AS d, starts_with(x, '-') AS minus FROM s),
+q AS (SELECT *, regexp_full_match(d, '[0-9]+|[0-9]+[.,][0-9][0-9]?[0-9]?|[0-9]+([.][0-9]+)([.][0-9]+)+|[0-9]+(,[0-9]+)(,[0-9]+)+|[0-9]+(,[0-9]+)+[.][0-9]+|[0-9]+([.][0-9]+)+,[0-9]+') AS readable FROM n)
+SELECT record_id, 'broken_quoting' AS rule FROM r WHERE NOT sound UNION ALL SELECT record_id, 'column_count' FROM r WHERE sound AND len(cells) <> width
+UNION ALL SELECT record_id, CASE WHEN price IN ('', '-', '--', 'n/a', 'N/A') THEN 'missing_price' WHEN NOT readable THEN 'price.format' ELSE 'price_not_positive' END FROM q
+WHERE price IN ('', '-', '--', 'n/a', 'N/A') OR NOT readable OR minus OR regexp_full_match(d, '[0.,]+')
+UNION ALL SELECT record_id, 'barcode_invalid' FROM q WHERE code NOT IN ('', '-', '--', 'n/a', 'N/A', '0')
+AND NOT (regexp_full_match(b, '[0-9]+') AND length(b) IN (8, 12, 13, 14) AND CASE WHEN regexp_full_match(b, '[0-9]+') THEN {_DIGIT} = CAST(right(b, 1) AS INTEGER) ELSE false END)"""
 SQL: dict[str, str] = {
+    "p3_found": _P3,
     "p4_profile": f"""{_COUNTS} SELECT feed_id, field_name, count(*) AS rows, count(*) - count(value) AS blanks, count(DISTINCT value) AS distinct_values, min(value) AS min_value, max(value) AS max_value,
 count(*) FILTER (value IS NOT NULL AND {_BROKEN}) AS bad_form, {_QUARTILES} FROM v GROUP BY feed_id, field_name""",
     "p4_distances": f"{_COUNTS} SELECT feed_id, field_name, round(ks, 6) AS ks, round(shift, 6) AS shift FROM e WHERE feed_id IN (SELECT feed_id FROM p WHERE before IS NOT NULL)",
