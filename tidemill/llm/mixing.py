@@ -106,9 +106,9 @@ def mixture(tokens: DataFrame, targets: dict[str, Target]) -> tuple[DataFrame, d
     kept = tokens.where(F.col("source").isin(*targets)).select("doc_id", "source", "n_tokens", hashed(F.col("doc_id")).alias("__h"))
     kept = checkpointed(kept)  # counted once, filtered several times
     plan = rations(kept, targets)
-    times = F.lit(0)
-    for s, r in plan.items():
-        times = F.when(F.col("source") == s, F.lit(r.passes) + (F.col("__h") < F.lit(r.threshold).cast("bigint")).cast("int")).otherwise(times)
+    of = lambda values: F.try_element_at(F.create_map(*[x for s, v in values for x in (F.lit(s), F.lit(v).cast("bigint"))]), F.col("source"))
+    once_more = F.col("__h") < of([(s, r.threshold) for s, r in plan.items()])
+    times = (of([(s, r.passes) for s, r in plan.items()]) + once_more.cast("int")).cast("int")
     return kept.select("doc_id", "source", "n_tokens", times.alias("repeats")).where(F.col("repeats") > 0), plan
 
 
