@@ -161,3 +161,25 @@ def test_stream_gives_the_same_rows(spark, tmp_path):
     want = judge(from_table(rows, PROF), PROF)
     key = lambda df: sorted(map(tuple, df.select("line", "role", "sku", F.to_json("v")).collect()))
     assert key(got) == key(want)
+
+
+def test_feed_pipeline_never_merges_rows_without_a_sku(spark, tmp_path):
+    from tidemill.functions.text import fold_py
+    from tidemill.plans.survey import feed_pipeline
+
+    skus = [None, None, "", "", " ", " ", "-", "-", "--", "#", "é", "n/a", "A-1", "a 1", "A-1 ", "B"]
+    cells = [(f, s, t) for f in (1, 2) for s in skus for t in ("Same thing", "Same thing", "Other thing")]
+    rows = [(i + 1, f, s, t, "5") for i, (f, s, t) in enumerate(cells)]
+    spark.createDataFrame(rows, "row_id long, feed_id long, sku string, title string, price string").write.parquet(str(tmp_path / "feed_row.parquet"))
+    out = feed_pipeline(spark, str(tmp_path))
+    got = {r["line"]: r for r in out.collect()}
+    groups = {}
+    for i, f, s, *_ in rows:
+        if fold_py(s):
+            groups.setdefault((f, fold_py(s)), []).append(i)
+    role = {i: "single" if len(g) == 1 else "tied" for g in groups.values() for i in g}  # titles differ in all groups and nothing decides
+    assert {i: got[i]["role"] for i, *_ in rows} == {i: role.get(i, "nosku") for i, *_ in rows}
+    assert {i for i, r in got.items() if r["role"] == "nosku"} == {i for i, _, s, *_ in rows if not fold_py(s)}
+    # no sku at all is a rejection; marks are a sku that has no key
+    assert {i for i, r in got.items() if r["role"] == "nosku" and r["rejected"]} == {i for i, _, s, *_ in rows if not (s or "").strip()}
+    assert all(got[i]["sku"] == (s or "").strip() for i, _, s, *_ in rows if not fold_py(s))

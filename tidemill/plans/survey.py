@@ -367,7 +367,9 @@ def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def feed_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run over feed_row, each file's rows deduplicated on their own."""
-    rows = table(spark, sf_dir, "feed_row").withColumn("sku", F.concat_ws(" in file ", F.nullif("sku", F.lit("")), F.col("feed_id").cast("string")))
+    # a sku without a key stays as it is: with the file in it, it would have one
+    own = F.concat_ws(" in file ", "sku", F.col("feed_id").cast("string"))
+    rows = table(spark, sf_dir, "feed_row").withColumn("sku", F.when(text.fold(F.col("sku")) != "", own).otherwise(F.col("sku")))
     numbered = rows.withColumn("line", F.col("row_id"))
     prof = build_profile({"columns": {c: [c] for c in CLEAN if c in rows.columns} | {"sku": ["sku"]}, "stock_status": {"in_stock": ["in stock", "available", "yes"], "out_of_stock": ["sold out", "oos"]}, "booleans": {"true": ["yes", "y", "1", "t"], "false": ["no", "n", "0", "f"]}})
     judged = judge(from_table(numbered, prof), prof)
