@@ -183,3 +183,10 @@ def test_feed_pipeline_never_merges_rows_without_a_sku(spark, tmp_path):
     # no sku at all is a rejection; marks are a sku that has no key
     assert {i for i, r in got.items() if r["role"] == "nosku" and r["rejected"]} == {i for i, _, s, *_ in rows if not (s or "").strip()}
     assert all(got[i]["sku"] == (s or "").strip() for i, _, s, *_ in rows if not fold_py(s))
+
+
+def test_report_counts_all_vendors_without_an_alias(spark):
+    rows = spark.range(1203).select((F.col("id") + 2).alias("line"), F.concat(F.lit("S"), F.col("id")).alias("sku"), F.lit("A thing").alias("title"), F.lit("5").alias("price"), F.format_string("Maker %04d", F.col("id") % 1201).alias("vendor"))
+    s = run(from_table(rows, PROF), PROF, persist=False).summary("made up")
+    assert (s.vendors, s.n_vendors) == (["Maker 0000", "Maker 0001", "Maker 0002"], 1201)
+    assert "vendors without an alias  1201: Maker 0000, Maker 0001, Maker 0002 and 1198 more" in render(s)

@@ -11,6 +11,8 @@ from tidemill.operators.normalize import CHANGED, REJECT, REVIEW, UNRESOLVED
 from tidemill.operators.outputs import is_clean
 
 TOP = 4
+#: Names a list in the report shows.
+NAMED = 3
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -68,7 +70,9 @@ class Summary:
     reasons: dict[str, int]
     mapped: int
     unmapped: list[str]
+    #: Vendors without an alias: the first NAMED, and how many there are.
     vendors: list[str]
+    n_vendors: int
     files: dict[str, int] = field(default_factory=dict)
 
 
@@ -77,8 +81,9 @@ def summarise(rows: DataFrame, source: str, profile: str, mapped: int, unmapped:
     rules: dict[str, list[tuple[str, int]]] = {}
     for r in rule_counts(rows).orderBy(F.desc("n"), "first_line", "rule").collect():
         rules.setdefault(r["kind"], []).append((r["rule"], r["n"]))
-    vendors = [r["vendor"] for r in unmapped_vendors(rows).orderBy("vendor").limit(1000).collect()]
-    return Summary(source, profile, totals(rows).first().asDict(), rules, {r["reason"]: r["n"] for r in reasons(rows).collect()}, mapped, unmapped, vendors)
+    unlisted = unmapped_vendors(rows)
+    vendors = [r["vendor"] for r in unlisted.orderBy("vendor").limit(NAMED).collect()]
+    return Summary(source, profile, totals(rows).first().asDict(), rules, {r["reason"]: r["n"] for r in reasons(rows).collect()}, mapped, unmapped, vendors, unlisted.count())
 
 
 def _breakdown(pairs: list[tuple[str, int]], k: int = TOP) -> list[str]:
@@ -89,8 +94,8 @@ def _breakdown(pairs: list[tuple[str, int]], k: int = TOP) -> list[str]:
     return lines
 
 
-def _named(names: list[str], k: int = 3) -> str:
-    return ", ".join(names[:k]) + (f" and {len(names) - k} more" if len(names) > k else "")
+def _named(names: list[str], n: int, k: int = NAMED) -> str:
+    return ", ".join(names[:k]) + (f" and {n - k} more" if n > k else "")
 
 
 def _sum(s: Summary, kind: str) -> int:
@@ -107,9 +112,9 @@ def render(s: Summary) -> str:
     out.append(f"    {'cells filled from dropped rows':<34}{t['backfills']:>8}")
     for title, kind in (("edits", "normalized"), ("unreadable", "unresolved"), ("rejections", "reject"), ("reviews", "flag")):
         out += ["", f"{title}  {_sum(s, kind)}", *(_breakdown(s.rules.get(kind, [])) or ["    none"])]
-    out += ["", f"headers  {s.mapped} mapped, {len(s.unmapped)} carried along" + (f": {_named(s.unmapped)}" if s.unmapped else "")]
+    out += ["", f"headers  {s.mapped} mapped, {len(s.unmapped)} carried along" + (f": {_named(s.unmapped, len(s.unmapped))}" if s.unmapped else "")]
     if s.vendors:
-        out.append(f"vendors without an alias  {len(s.vendors)}: {_named(s.vendors)}")
+        out.append(f"vendors without an alias  {s.n_vendors}: {_named(s.vendors, s.n_vendors)}")
     out += ["", *(f"{name:<24}{n:>8} rows" for name, n in s.files.items())]
     return "\n".join(out).rstrip() + "\n"
 
