@@ -72,3 +72,10 @@ def test_fitting_from_a_table(spark):
     got = {r["doc_id"]: r["lang"] for r in lg.languages(lg.segments(df)).collect()}
     assert got == {d[0]: d[2] for d in docs}
     assert lg.segments(df.limit(0)).count() == 0
+
+
+def test_copies_do_not_thin_the_sample(spark):
+    text = lambda i: TEXTS["da"][0].replace("40", str(1000 + i))
+    docs = [(i, text(i), "da", None, 0, 0) for i in range(300)] + [(300 + i, text(300), "da", None, 0, 0) for i in range(3000)]
+    found = lg.sample(spark.createDataFrame(docs, DOCS), "text", "lang", per_label=100)["da"]
+    assert len(found) == len(set(found)) and 70 <= len(found) <= 130

@@ -270,11 +270,13 @@ def _fit(samples: dict[str, list[str]], seed: int) -> Model:
 def sample(documents: DataFrame, text: str, lang: str, per_label: int = SAMPLE_DOCUMENTS) -> dict[str, list[str]]:
     """label -> sentences of a bounded sample of labelled documents.
 
-    Documents are drawn by a hash of their text, at a rate that yields `per_label` of each label
-    in expectation; of their sentences at most SAMPLE_SENTENCES a label are kept, drawn by hash too.
+    Documents are drawn by a hash of their text, at a rate that yields `per_label` different texts of
+    each label in expectation, however many copies there are; of their sentences at most SAMPLE_SENTENCES a label are kept, drawn by hash too.
     """
     coded = documents.select(F.col(text).alias("text"), label_code(F.col(lang)).alias("code")).where(F.col("code").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    sizes = {r["code"]: r["n"] for r in coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # copies share a draw, so rates come from the different texts; their hashes count them
+    texts = coded.select("code", F.xxhash64("text").alias("__hash")).distinct()
+    sizes = {r["code"]: r["n"] for r in texts.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}
     rates = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
