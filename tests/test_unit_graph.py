@@ -67,3 +67,13 @@ def test_report_empty_and_long(spark):
     ]
     empty = spark.createDataFrame([], FEED)
     assert ug.converted(empty).count() == 0 and ug.unusable(empty).count() == 0
+
+
+def test_phrases_of_any_length_and_with_markup(spark):
+    filler = "as printed on the carton by the maker and checked again by us on arrival "
+    texts = [
+        f"All weights {filler * 3}are in lbs.", "Weight <b>column</b> given in <span class=\"u\">pounds</span>.", f"<p>Poids <i>{filler}</i>en oz</p>",
+        "<p>Weight</p><p>Sold in kg bags</p>", f"The weight is {filler * 3}. Sold in kg bags.", f"Our weight {filler}wt. in oz", "weight " * 50_000 + ". wt in kg", "weight " * 50_000,
+    ]
+    got = found(spark, [("5", None, None, t) for t in texts])
+    assert {k: v for (k, _), v in got.items()} == {0: 22680, 1: 22680, 2: 1417, 5: 1417, 6: 50000}

@@ -160,10 +160,25 @@ _SUM_SHAPE = (
     rf"(?i)^({_AMOUNT})\s*({_any_of(POUND_SPELLINGS)})\.?\s*(?:,|and|&|\+)?\s*"
     rf"({_AMOUNT})\s*(?:{_any_of(OUNCE_SPELLINGS)})\.?$"
 )
+_WEIGHT_WORD = rf"(?<![\p{{L}}0-9])(?:{'|'.join(WEIGHT_WORDS)})(?![\p{{L}}0-9])"
+# the first weight word of a sentence reaches all that later ones do; taking it for good keeps the search linear
 _PHRASE = (
-    rf"(?i)(?<![\p{{L}}0-9])(?:{'|'.join(WEIGHT_WORDS)})(?![\p{{L}}0-9])\.?[^.<>;!?]{{0,60}}?"
+    rf"(?i)(?:^|[.<>;!?])(?>[^.<>;!?]*?{_WEIGHT_WORD})[^.<>;!?]*?"
     rf"(?<![\p{{L}}])(?:{'|'.join(UNIT_LEADS)})(?![\p{{L}}]):?\s+({_any_of(WEIGHT_UNITS)})(?![\p{{L}}0-9])"
 )
+# Tags within a sentence; all others end it.
+INLINE_TAGS = (
+    "a", "abbr", "b", "big", "cite", "code", "del", "em", "font", "i", "ins", "label", "mark", "q", "s", "small", "span", "strong", "sub",
+    "sup", "tt", "u", "var", "wbr",
+)
+_INLINE = rf"(?i)</?(?:{'|'.join(INLINE_TAGS)})(?:\s[^<>]*)?/?>"
+
+
+def _phrase_unit(description: Column) -> Column:
+    """The spelling of the unit that a sentence names for the weight, of any length; empty if none does."""
+    # the point of an abbreviated weight word ends no sentence
+    open_ended = F.regexp_replace(F.regexp_replace(description, _INLINE, ""), rf"(?i)({_WEIGHT_WORD})\.", "$1 ")
+    return F.lower(F.regexp_extract(open_ended, _PHRASE, 1))
 
 
 def _unit_name(c: Column) -> Column:
@@ -190,7 +205,7 @@ def read_weight(cell: Column, unit_cell: Column, description: Column) -> Column:
         unit = F.coalesce(
             F.nullif(F.lower(F.get(one, F.lit(1))), F.lit("")),
             F.nullif(_unit_name(unit_cell), F.lit("")),
-            F.nullif(F.lower(F.regexp_extract(description, _PHRASE, 1)), F.lit("")),
+            F.nullif(_phrase_unit(description), F.lit("")),
         )
         return F.struct(read_amount(F.get(one, F.lit(0))).alias("amount"), F.when(one.isNotNull(), unit).alias("unit"))
 
