@@ -77,3 +77,13 @@ def test_phrases_of_any_length_and_with_markup(spark):
     ]
     got = found(spark, [("5", None, None, t) for t in texts])
     assert {k: v for (k, _), v in got.items()} == {0: 22680, 1: 22680, 2: 1417, 5: 1417, 6: 50000}
+
+
+def test_spellings_of_one_unit_are_one(spark):
+    dims = ["10 cm x 8 centimeter x 3", "centimetre: 1 x 2 CM x 3", '1 in x 2" x 3', "1 ft x 2 in x 3", "1 x 2 mm x 3 millimetre", "1cm x 2 centimeter x 3in"]
+    df = spark.createDataFrame([(i, None, None, d, None, "x", "y") for i, d in enumerate(dims)], FEED)
+    got = {}
+    for r in sorted(ug.converted(df).collect(), key=lambda r: ug.MEASURES.index(r["measure"])):
+        got.setdefault(r["row_id"], []).append(r["tenths"])
+    assert got == {0: [1000, 800, 300], 1: [100, 200, 300], 2: [254, 508, 762], 4: [10, 20, 30], 5: [100, 200, 762]}
+    assert [(r["row_id"], r["problem"]) for r in ug.unusable(df).collect()] == [(3, "no unit")]

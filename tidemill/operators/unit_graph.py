@@ -242,8 +242,12 @@ def read_dimensions(cell: Column) -> Column:
             lambda p: F.struct(F.when(p.isNull(), x["amounts"]).alias("amounts"), F.when(p.isNull(), x["units"]).alias("units"), p.alias("problem")),
         )
 
+    known = F.create_map(*[F.lit(x) for pair in LENGTH_UNITS.items() for x in pair])
+
     def edges(got: Column) -> Column:
-        named = F.array_distinct(F.filter(F.array(*[F.lower(F.get(got, F.lit(i))) for i in (0, 2, 4, 6)]), lambda u: u != ""))
+        given = F.filter(F.array(*[F.lower(F.get(got, F.lit(i))) for i in (0, 2, 4, 6)]), lambda u: u != "")
+        # units, not their spellings: cm and centimetre are one; a unit's name is one of its spellings
+        named = F.array_distinct(F.transform(given, lambda u: F.try_element_at(known, u)))
         written = F.array(*[F.lower(F.get(got, F.lit(i))) for i in (2, 4, 6)])
         units = let(
             F.when(F.size(named) == 1, F.get(named, F.lit(0))),
