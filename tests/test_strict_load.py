@@ -38,6 +38,8 @@ def by_hand(s):
 def test_csv_record_against_a_scanner(values):
     rng = random.Random(5)
     cells = ["", '""', '"', ",", '"a""b",c', '"a\nb",', 'a"b"c', '"a"b', ' "a"', None, '"' + 'x""' * 60_000 + '"', "a," * 50_000]
+    cells += ["a\x01b,\x02", '"\x01,\x02a",\x01b\x02b', '"\x02""\x01",x', "\x01", "\x02"]
+    cells += ["".join(rng.choice('",a\x01\x02') for _ in range(rng.randrange(12))) for _ in range(1000)]
     cells += ["".join(rng.choice('",a \n') for _ in range(rng.randrange(12))) for _ in range(3000)]
     got = values(sl.csv_record, cells)
     for c, g in zip(cells, got):

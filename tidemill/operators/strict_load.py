@@ -16,21 +16,19 @@ from tidemill.functions.numbers import parse_money
 from tidemill.functions.text import PLACEHOLDERS, fold, let, tidy
 from tidemill.session import small_side
 
-_CUT = "\x01"
+# a cut, and the two marks that stand for a mark of the text itself while it is cut
+_CUT, _KEEP = "\x01", "\x02"
 
 #: Rules in the order they are reported; the first two exclude the others.
 RULES = ("broken_quoting", "column_count", "missing_price", "price.format", "price_not_positive", "barcode_invalid")
 
 
-def csv_record(text: Column) -> Column:
-    """struct<sound boolean, cells array<string>> of one CSV record (comma, doubled quotes).
+def _plain_cells(text: Column) -> Column:
+    return F.split(text, ",", -1)
 
-    The text is cut at its quotes: pieces at even places lie outside quoted cells, and a doubled
-    quote is an empty one of these. Quoting is sound if the number of quotes is even and every
-    outside piece touches a quote only with a comma or as a doubled quote. No regex with nested
-    repetition is run, so a record of any length is read in linear time and constant stack.
-    An empty record has one empty cell; null gives null.
-    """
+
+def _quoted_record(text: Column) -> Column:
+    """`csv_record` of a text with quotes in it."""
 
     def read(parts: Column) -> Column:
         last = F.size(parts) - 1
@@ -38,7 +36,7 @@ def csv_record(text: Column) -> Column:
         def fits(p: Column, i: Column) -> Column:
             opens = (i == 0) | F.startswith(p, F.lit(","))
             closes = (i == last) | F.endswith(p, F.lit(","))
-            return F.when(last == 0, F.lit(True)).when(p == "", F.lit(True)).otherwise(opens & closes)
+            return F.when(p == "", F.lit(True)).otherwise(opens & closes)
 
         # an empty first or last piece is the start or end of the record
         sound = (last % 2 == 0) & F.forall(F.transform(parts, lambda p, i: (i % 2 == 1) | fits(p, i)), lambda ok: ok)
@@ -51,8 +49,28 @@ def csv_record(text: Column) -> Column:
         )
         return F.struct(sound.alias("sound"), F.when(sound, cells).alias("cells"))
 
-    # a control character that would be taken for a cut is no part of any number or code
-    return F.when(text.isNotNull(), let(F.split(F.translate(text, _CUT, " "), '"', -1), read))
+    def kept(record: Column) -> Column:
+        put_back = lambda x: F.replace(F.replace(x, F.lit(_KEEP + "a"), F.lit(_CUT)), F.lit(_KEEP + "b"), F.lit(_KEEP))
+        return F.struct(record["sound"].alias("sound"), F.transform(record["cells"], put_back).alias("cells"))
+
+    cut = lambda c: let(F.split(c, '"', -1), read)
+    marked = F.contains(text, F.lit(_CUT)) | F.contains(text, F.lit(_KEEP))
+    spelt = F.replace(F.replace(text, F.lit(_KEEP), F.lit(_KEEP + "b")), F.lit(_CUT), F.lit(_KEEP + "a"))
+    return F.when(marked, let(cut(spelt), kept)).otherwise(cut(text))
+
+
+def csv_record(text: Column) -> Column:
+    """struct<sound boolean, cells array<string>> of one CSV record (comma, doubled quotes).
+
+    A text without a quote is cut at its commas and no more. Any other is cut at its quotes: pieces
+    at even places lie outside quoted cells, and a doubled quote is an empty one of these. Quoting
+    is sound if the number of quotes is even and every outside piece touches a quote only with a
+    comma or as a doubled quote. No regex with nested repetition is run, so a record of any length
+    is read in linear time and constant stack. Cells come out as delivered, whatever characters
+    they hold. An empty record has one empty cell; null gives null.
+    """
+    unquoted = F.struct(F.lit(True).alias("sound"), _plain_cells(text).alias("cells"))
+    return F.when(text.isNull(), F.lit(None)).when(F.contains(text, F.lit('"')), _quoted_record(text)).otherwise(unquoted)
 
 
 def header_positions(files: DataFrame, aliases: DataFrame) -> DataFrame:
