@@ -31,9 +31,28 @@ def test_ladder(spark):
     }
     a = got[1, "a 1"]
     assert (a["a"], a["b"], a["c"], a["updated_at"], a["n_rows"]) == ("x", "y", "p", "2026-01-02T05:00", 3)
+    b = got[1, "b"]
+    assert (b["a"], b["updated_at"]) == ("x", "2026-01-01")  # identical: the lowest line's own time
+    d = got[1, "d"]
+    assert d["tied"] and (d["a"], d["c"], d["updated_at"]) == ("x", "1", "1.2.26")
     assert run(spark, []) == {}
 
 
+def test_survivors_come_from_the_attributes_maxima(spark):
+    rows = [(1, 1, 1, "S", "x", "", "1", "2026-01-02", "x", 0, "y"), (2, 1, 2, "S", "", "b", "", "2026-01-01", "x", 0, "y")]
+    plan = sv.survivors(sv.sku_groups(spark.createDataFrame(rows, ROWS)), ["feed_id"], LADDER).select("survivor", "backfills")
+    optimized = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"__a_{f}" in optimized for f in LADDER.backfill)
+    assert [tuple(r) for r in plan.collect()] == [(1, 1)]
+
+
+def test_many_keys_meet_their_rows_in_salted_parts(spark, monkeypatch):
+    rows = [(i, 1, i, f"s{i % 90}" if i % 3 else "hot", "x", None, str(i % 2), None) for i in range(600)]
+    want = run(spark, rows)
+    monkeypatch.setattr(sv, "KEYS_LIMIT_BYTES", 0)
+    assert run(spark, rows) == want and want[1, "hot"]["n_rows"] == 200
+
+
 def test_hot_group_against_brute_force(spark):
     rng = random.Random(9)
     rows = []

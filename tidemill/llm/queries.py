@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import language, mixing, packing, survivors, vocab_match
 from tidemill.llm.tokens import token_counts
+from tidemill.profile import FIELDS
 from tidemill.session import table
 
-# The 20 canonical fields of a feed row, and those the survivor ladder uses.
-FIELDS = (
-    "handle", "sku", "title", "vendor", "product_type", "price", "cost", "compare_at", "barcode", "weight",
-    "weight_unit", "dimensions", "quantity", "stock_status", "published", "taxable", "image_url",
-    "description", "tags", "updated_at",
-)
+# The fields the survivor ladder uses.
 LADDER = survivors.Ladder(
     fields=FIELDS,
     compare=[f for f in FIELDS if f not in ("sku", "updated_at")],
@@ -98,13 +94,19 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p6_found, p6_golden, p7_
 _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?\\s*(Z|[+-][0-9]{2}:?[0-9]{2})?$".replace("\\\\", "\\")
 _FULL = lambda f: f"({f} IS NOT NULL AND trim({f}) NOT IN ('', '-', '--', 'n/a', 'N/A'))::INT"
 _SAME = " || chr(1) || ".join(f"CASE WHEN {f} IS NULL OR trim({f}) = '' THEN '' ELSE {f} END" for f in LADDER.compare)
-SQL: dict[str, str] = {
-    "p6_found": f"""WITH r AS (SELECT feed_id, row_id, line, trim(regexp_replace(lower(sku), '[^a-z0-9]+', ' ', 'g')) AS k, {_SAME} AS sig,
+_RANKED = f"""WITH r AS (SELECT *, trim(regexp_replace(lower(sku), '[^a-z0-9]+', ' ', 'g')) AS k, {_SAME} AS sig,
 CASE WHEN regexp_matches(trim(updated_at), '{_ISO}') THEN try_cast(replace(left(trim(updated_at), 10) || ' ' || CASE WHEN substr(trim(updated_at), 14, 1) = ':' THEN substr(trim(updated_at), 12, 5)
 || CASE WHEN substr(trim(updated_at), 17, 1) = ':' THEN substr(trim(updated_at), 17, 3) ELSE ':00' END ELSE '00:00:00' END, 'T', ' ') AS TIMESTAMP) END AS stamp,
-{" + ".join(map(_FULL, LADDER.core))} AS core, {" + ".join(map(_FULL, FIELDS))} AS filled, {", ".join(f"{_FULL(f)} AS has_{f}" for f in LADDER.backfill)} FROM feed_row),
+{" + ".join(map(_FULL, LADDER.core))} AS core, {" + ".join(map(_FULL, FIELDS))} AS filled, {", ".join(f"{_FULL(f)} AS has_{f}" for f in FIELDS)} FROM feed_row),
 g AS (SELECT *, count(*) OVER w AS n, min(sig) OVER w = max(sig) OVER w AS same, min(line) OVER w AS first_line, {", ".join(f"max(has_{f}) OVER w AS any_{f}" for f in LADDER.backfill)},
 rank() OVER (PARTITION BY feed_id, k ORDER BY stamp DESC NULLS LAST, core DESC, filled DESC) AS place FROM r WHERE k <> '' WINDOW w AS (PARTITION BY feed_id, k)),
-b AS (SELECT *, count(*) FILTER (place = 1) OVER (PARTITION BY feed_id, k) AS level FROM g WHERE n > 1)
-SELECT feed_id, row_id, ({" + ".join(f"any_{f} - has_{f}" for f in LADDER.backfill)})::BIGINT AS backfills FROM b WHERE CASE WHEN same THEN line = first_line ELSE place = 1 AND level = 1 END""",
+b AS (SELECT *, count(*) FILTER (place = 1) OVER (PARTITION BY feed_id, k) AS level, ({" + ".join(f"any_{f} - has_{f}" for f in LADDER.backfill)})::BIGINT AS backfills,
+CASE WHEN same THEN line = first_line ELSE place = 1 AND level = 1 END AS won FROM g WHERE n > 1)"""
+_BEST = lambda f: f"first({f} ORDER BY place, line, row_id) FILTER (has_{f} = 1)"
+_LOOSE = [f for f in FIELDS if f not in LADDER.compare]
+SQL: dict[str, str] = {
+    "p6_found": f"{_RANKED} SELECT feed_id, row_id, backfills FROM b WHERE won",
+    "p6_golden": f"""{_RANKED} SELECT feed_id, k AS sku_key, count(*) AS n_rows, NOT bool_or(won) AS tied, max(row_id) FILTER (won) AS survivor, max(backfills) FILTER (won) AS backfills,
+{", ".join(f"{_BEST(f)} AS {f}" for f in LADDER.compare)},
+{", ".join(f"coalesce(CASE WHEN bool_and(same) THEN max({f}) FILTER (won AND has_{f} = 1) END, {_BEST(f)}) AS {f}" for f in _LOOSE)} FROM b GROUP BY feed_id, k""",
 }

@@ -1,10 +1,12 @@
 """Best representative of each duplicate group (problem 6).
 
 Field-by-field survivorship in one aggregation: every attribute takes the maximum of a composite
-struct (present, source priority, freshness, completeness, line, value), so the surviving record
+struct (present, source priority, freshness, completeness, line, value, row), so the surviving record
 may be built from several rows, and the row that wins outright is the maximum of the same composite
-without a value. Partial aggregation runs before the shuffle: a group that holds a third of all
-rows reaches its reducer as one row per map task.
+without a value. Which cells were filled from other rows shows in the rows the maxima come from.
+Keys are counted first and only the rows of repeated ones aggregated, so a row alone in its group
+crosses no shuffle but as a key. Partial aggregation runs before both shuffles: a group that holds
+a third of all rows reaches its reducer as one row per map task.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.codes import iso_seconds
 from tidemill.functions.text import fold, is_blank, is_filled
+from tidemill.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -30,21 +33,41 @@ class Ladder:
     updated: str = "updated_at"
 
 
-def composite(ladder: Ladder, line: str, row: str, priority: Column | None = None) -> Column:
-    """struct ordered by source priority, freshness, core and all filled cells, then lower line and id.
+#: Groups' keys are broadcast up to this size, measured; beyond it rows meet them in a salted join.
+KEYS_LIMIT_BYTES = 32 * 1024 * 1024
+#: Parts a group's rows are spread over in the salted join.
+SALT = 32
+
+
+def rank(ladder: Ladder) -> Column:
+    """Freshness, core and all filled cells in one number that orders as they do.
 
     A form of `updated` that is not ISO counts as no time, below every time.
     """
-    filled = {f: is_filled(F.col(f)).cast("int") for f in ladder.fields}
+    filled = {f: is_filled(F.col(f)).cast("bigint") for f in {*ladder.fields, *ladder.core}}
     total = lambda names: sum((filled[f] for f in names[1:]), filled[names[0]])
-    return F.struct(
-        (priority if priority is not None else F.lit(0)).alias("priority"),
-        F.coalesce(iso_seconds(F.col(ladder.updated)), F.lit(-1)).alias("at"),
-        total(list(ladder.core)).alias("core"),
-        total(list(ladder.fields)).alias("filled"),
-        F.coalesce(-F.col(line), F.lit(-(2**62))).alias("up"),
-        (-F.col(row)).alias("first"),
-    )
+    at = F.coalesce(iso_seconds(F.col(ladder.updated)), F.lit(-1)) + 1
+    return (at * (len(ladder.core) + 1) + total(list(ladder.core))) * (len(ladder.fields) + 1) + total(list(ladder.fields))
+
+
+def repeated_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys of two rows or more, by partial counts; rows with a null in a key are left out."""
+    counted = rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return counted.where(F.col("__n") > 1).select(*keys)
+
+
+def rows_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is one of `keys`: by broadcast if these are small as measured, else joined in SALT parts a key."""
+    names = keys.columns
+    found = checkpointed(keys)
+    width = found.agg(F.sum(sum((F.length(F.col(k).cast("string")) + 24 for k in names[1:]), F.length(F.col(names[0]).cast("string")) + 24))).first()[0] or 0
+    on = found.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(names)])
+    same = [F.col(k) == F.col(f"__key_{i}") for i, k in enumerate(names)]
+    if width <= KEYS_LIMIT_BYTES:
+        return rows.join(F.broadcast(on), same, "left_semi")
+    spread = on.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALT)).cast("int"))
+    return salted.join(spread, [*same, F.col("__salt") == F.col("__part")], "left_semi").drop("__salt")
 
 
 def survivors(
@@ -59,48 +82,54 @@ def survivors(
     the group is `identical`. Otherwise the highest priority, the newest time, the most core
     cells and the most cells decide in this order; groups still level are `tied` and have no
     survivor. A blank or placeholder cell is not filled. The surviving row's own cells come first;
-    a cell it lacks is taken from the best row that fills it. Rows with a null in a group
-    column belong to no group. Repeated rows are identical.
+    a cell it lacks is taken from the best row that fills it, the lower line of equals. A tied group
+    is marked so; its cells are taken in the same order. Backfills are the fields whose value is not the
+    survivor's own, none in an identical group. Rows with a null in a group column belong to no
+    group. Repeated rows are identical.
     """
-    best = composite(ladder, line, row, priority)
+    keys = [f"__g{i}" for i in range(len(group))]
     text = [F.when(is_blank(F.col(f)), F.lit("")).otherwise(F.col(f)) for f in ladder.compare]
-    # two independent 64-bit hashes of all compared cells stand for their equality
-    same = {"__h1": F.xxhash64(*text), "__h2": F.xxhash64(F.lit("second"), *reversed(text))}
-    base = rows.select(
-        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
-        F.col(row).alias("__row"), F.coalesce(F.col(line), F.lit(2**62)).alias("__line"), best.alias("__best"), *[c.alias(n) for n, c in same.items()],
+    keyed = rows.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], "*")
+    # only groups of two or more have anything to decide, so all else stays where it is
+    chosen = rows_of(keyed, repeated_keys(keyed.select(*keys), keys))
+    base = chosen.select(
+        *keys, F.col(row).alias("__row"), F.coalesce(F.col(line), F.lit(2**62)).alias("__line"),
+        (priority if priority is not None else F.lit(0)).alias("__priority"), rank(ladder).alias("__rank"),
+        # two independent 64-bit hashes of all compared cells stand for their equality
+        F.xxhash64(*text).alias("__h1"), F.xxhash64(F.lit("second"), *reversed(text)).alias("__h2"),
         *[F.when(is_filled(F.col(f)), F.col(f)).alias(f"__v_{f}") for f in ladder.fields],
-    ).dropna(subset=[f"__g{i}" for i in range(len(group))])
-    rank = F.struct("__best.priority", "__best.at", "__best.core", "__best.filled")
-    attributes = [
-        F.max(F.when(F.col(f"__v_{f}").isNotNull(), F.struct(F.col("__best"), F.col(f"__v_{f}").alias("value")))).alias(f"__a_{f}") for f in ladder.fields
-    ]
-    own = F.array(*[F.col(f"__v_{f}").isNotNull() for f in ladder.backfill])
-    one = base.groupBy(*[f"__g{i}" for i in range(len(group))]).agg(
+    )
+    here = [F.col("__priority"), F.col("__rank"), (-F.col("__line")).alias("__up"), (-F.col("__row")).alias("__first")]
+    first = [(-F.col("__line")).alias("__up"), (-F.col("__row")).alias("__first")]
+    value = lambda f: F.col(f"__v_{f}")
+    # in an identical group only these can differ, and the lowest line's own come first
+    loose = [f for f in ladder.fields if f not in ladder.compare]
+    one = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         # the same rank reached by two rows shows as two different ids, lowest and highest
-        F.max(F.struct(rank.alias("rank"), F.col("__row").alias("row"), own.alias("own"))).alias("__high"),
-        F.max(F.struct(rank.alias("rank"), (-F.col("__row")).alias("row"))).alias("__low"),
-        F.min(F.struct("__line", F.col("__row").alias("row"))).alias("__first"),
-        *[f(c).alias(f"{c}_{n}") for c in same for n, f in (("a", F.min), ("b", F.max))],
-        *[F.bool_or(F.col(f"__v_{f}").isNotNull()).alias(f"__any_{f}") for f in ladder.backfill],
-        *attributes,
+        F.max(F.struct("__priority", "__rank", F.col("__row").alias("row"))).alias("__high"),
+        F.max(F.struct("__priority", "__rank", (-F.col("__row")).alias("row"))).alias("__low"),
+        F.max(F.struct(*first, F.col("__row").alias("row"), *[value(f).alias(f) for f in loose])).alias("__lowest"),
+        *[f(h).alias(f"{h}_{n}") for h in ("__h1", "__h2") for n, f in (("a", F.min), ("b", F.max))],
+        # (non-null, priority, time, completeness, lower line; the value and the row it is from)
+        *[F.max(F.when(value(f).isNotNull(), F.struct(*here, F.col("__row").alias("row"), value(f).alias("value")))).alias(f"__a_{f}") for f in ladder.fields],
     )
-    one = one.where(F.col("n_rows") > 1)
     identical = (F.col("__h1_a") == F.col("__h1_b")) & (F.col("__h2_a") == F.col("__h2_b"))
-    tied = ~identical & (F.col("__high.row") != -F.col("__low.row"))
-    gained = [
-        (F.col(f"__any_{f}") & ~F.get("__high.own", F.lit(i))).cast("int") for i, f in enumerate(ladder.backfill)
-    ]
-    return one.select(
-        *[F.col(f"__g{i}").alias(g) for i, g in enumerate(group)],
-        "n_rows",
-        tied.alias("tied"),
-        identical.alias("identical"),
-        F.when(identical, F.col("__first.row")).when(~tied, F.col("__high.row")).alias("survivor"),
-        F.when(identical, F.lit(0)).when(~tied, sum(gained[1:], gained[0])).cast("bigint").alias("backfills"),
-        *[F.col(f"__a_{f}.value").alias(f) for f in ladder.fields],
-    )
+    tied = ~identical & ~F.col("__high.row").eqNullSafe(-F.col("__low.row"))
+    judged = one.withColumns({"identical": identical, "tied": tied})
+    borrowed = [(~F.col(f"__a_{f}.row").eqNullSafe(F.col("__high.row")) & F.col(f"__a_{f}").isNotNull()).cast("bigint") for f in ladder.backfill]
+
+    def kept(f: str) -> Column:
+        best = F.col(f"__a_{f}.value")
+        return F.when(F.col("identical"), F.coalesce(F.col(f"__lowest.{f}"), best)).otherwise(best) if f in loose else best
+
+    return judged.select(
+        *[F.col(k).alias(g) for g, k in zip(group, keys)],
+        "n_rows", "tied", "identical",
+        F.when(F.col("identical"), F.col("__lowest.row")).when(~F.col("tied"), F.col("__high.row")).alias("survivor"),
+        F.when(F.col("identical"), F.lit(0)).when(~F.col("tied"), sum(borrowed[1:], borrowed[0])).cast("bigint").alias("backfills"),
+        *[kept(f).alias(f) for f in ladder.fields],
+    )
 
 
 def sku_groups(rows: DataFrame) -> DataFrame:
