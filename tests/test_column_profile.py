@@ -35,7 +35,7 @@ def test_distances_are_exact(spark):
     data = rows()
     pairs = spark.createDataFrame([(2, 1), (3, 2), (4, 3)], "load long, before long")
     counts = cp.value_counts(spark.createDataFrame(data, ROWS), ["c"], "load")
-    got = {r["load"]: r for r in cp.distances(counts, pairs, partitions=3).collect()}
+    got = {r["load"]: r for r in cp.distances(cp.curves(counts, pairs, partitions=3)).collect()}
     assert set(got) == {2, 3}
     for load, before in ((2, 1), (3, 2)):
         a, b = (Counter(r[1] for r in data if r[0] == x and r[1]) for x in (load, before))
@@ -52,8 +52,25 @@ def test_findings(spark):
     data = [(1, "a.b", None, None)] * 10 + [(2, "a.b", None, None)] * 9 + [(2, None, None, None)] + [(3, "a.c", None, None)] * 10 + [(4, " a.b", None, None)] * 2
     pairs = spark.createDataFrame([(2, 1), (3, 2), (4, 9)], "load long, before long")
     counts = cp.value_counts(spark.createDataFrame(data, ROWS), ["c"], "load")
-    got = sorted((r["load"], r["finding"]) for r in cp.findings(counts, pairs, {"c": r"[a-z_]+\.[a-z_]+"}).collect())
+    got = sorted((r["load"], r["finding"]) for r in cp.findings(cp.curves(counts, pairs), {"c": r"[a-z_]+\.[a-z_]+"}).collect())
     assert got == [(2, "blank_rise"), (3, "value_shift"), (4, "bad_form")]
     empty = cp.value_counts(spark.createDataFrame([], ROWS), ["c"], "load")
-    assert cp.findings(empty, pairs, {}).count() == 0
+    assert cp.findings(cp.curves(empty, pairs), {}).count() == 0
     assert cp.profile(spark.createDataFrame([], ROWS), ["c"], "load").count() == 0
+
+
+def test_findings_come_off_the_sorted_curves(spark, monkeypatch):
+    data = [(1, f"v{i:02d}", None, None) for i in range(40)] + [(2, f"v{i:02d}" if i < 20 else f"w{i:02d}", None, None) for i in range(40)]
+    pairs = spark.createDataFrame([(2, 1)], "load long, before long")
+    counts = cp.value_counts(spark.createDataFrame(data, ROWS), ["c"], "load")
+    found = lambda: sorted((r["load"], r["finding"]) for r in cp.findings(cp.curves(counts, pairs, partitions=5), {"c": "v.*"}).collect())
+    assert found() == [(2, "bad_form"), (2, "value_shift")]
+    curve = cp.curves(counts, pairs, partitions=5)
+    rows = sorted((r for r in curve.collect() if r["load"] == 2), key=lambda r: r["value"])
+    seen = before = 0
+    for r in rows:  # exact prefix counts across the ranges
+        seen, before = seen + r["n"], before + r["n_before"]
+        assert (r["rows_upto"], r["before_upto"], r["rows"], r["before"]) == (seen, before, 40, 40)
+    # without running sums there is no curve, and no shift
+    monkeypatch.setattr(cp, "_running", lambda keys: lambda batches: (b.assign(n_in=0, n_before_in=0, part=0) for b in batches))
+    assert found() == []

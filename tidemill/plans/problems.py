@@ -6,15 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import column_profile, schema_drift, strict_load, unit_graph
-from tidemill.session import checkpointed, table
-
-# The 20 canonical fields of a feed row.
-FIELDS = (
-    "handle", "sku", "title", "vendor", "product_type", "price", "cost", "compare_at", "barcode", "weight",
-    "weight_unit", "dimensions", "quantity", "stock_status", "published", "taxable", "image_url",
-    "description", "tags", "updated_at",
-)
-
+from tidemill.profile import FIELDS
+from tidemill.session import table
 
 # ------------------------------------------------------------------ 1: units
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +47,8 @@ def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, pairs = _log(spark, sf_dir)
-    counts = checkpointed(column_profile.value_counts(log, LOG_COLUMNS, "feed_id"))  # the log is read once
-    return column_profile.findings(counts, pairs, LOG_FORMS).select(F.col("load").alias("feed_id"), "field_name", "finding")
+    curves = column_profile.curves(column_profile.value_counts(log, LOG_COLUMNS, "feed_id"), pairs)
+    return column_profile.findings(curves, LOG_FORMS).select(F.col("load").alias("feed_id"), "field_name", "finding")
 
 
 def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +62,7 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, pairs = _log(spark, sf_dir)
-    counts = column_profile.value_counts(log, LOG_COLUMNS, "feed_id")
-    d = column_profile.distances(counts, pairs)
+    d = column_profile.distances(column_profile.curves(column_profile.value_counts(log, LOG_COLUMNS, "feed_id"), pairs))
     return d.select(F.col("load").alias("feed_id"), "field_name", F.round("ks", 6).alias("ks"), F.round("shift", 6).alias("shift"))
 
 
