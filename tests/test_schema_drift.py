@@ -59,7 +59,27 @@ def test_flooding_prefers_the_likelier_pair():
     assert scores["season", "saison"] > scores["season", "bin place"]
     both = {(a["key"], b["key"]): 1.0 for a in gone for b in new}
     assert sorted(sd.correspondences(gone, new, both)) == [("bin location", "bin place"), ("season", "saison")]
-    assert sd.correspondences(gone, new, {}) == []
+    assert sd.correspondences(gone, new, {}) == [] and sd.correspondences(gone, gone, both) == []
+
+
+def test_settled_scores_choose_between_rivals(spark, monkeypatch):
+    # both old columns hold what the new one holds; words, type and what stays tell which it continues
+    one = [{"SKU": f"s{i}", "Area": "n", "Bay code": f"b{i}", "A shelf": f"b{i}", "Bay depth": "3"} for i in range(8)]
+    two = [{"SKU": f"s{i}", "Area": "n", "Bay no": f"b{i}", "Bay depth": "3"} for i in range(8)]
+    three = [{"SKU": f"s{i}", "Area": "n", "Box label": f"b{i}", "Zone bay": f"b{i}", "Bay depth": "3"} for i in range(8)]
+    rows, files, aliases = feed(spark, [(1, one), (2, two), (3, three)])
+    want = [(2, "A shelf", "removed"), (2, "Bay no", "renamed"), (3, "Box label", "added"), (3, "Zone bay", "renamed")]
+    matched = sd.drift(rows, files, aliases)
+    assert drifts(matched) == want
+    assert {r["key"]: r["before_key"] for r in matched.where("drift = 'renamed'").collect()} == {"bay no": "bay code", "zone bay": "bay no"}
+    # without flooding the rows are others; two consecutive files each, so that the functions below reach the workers
+    schema = lambda ks: [{"key": k, "type": "text", "in_extra": k != "sku", "field": "sku" if k == "sku" else None, "header": k} for k in ks]
+    before, now = schema(["sku", "bay code", "a shelf", "bay depth"]), schema(["sku", "bay no", "bay depth"])
+    agreed = {("bay code", "bay no"): 1.0, ("a shelf", "bay no"): 1.0}
+    assert sd.correspondences(before, now, agreed) == [("bay code", "bay no")]
+    flat = lambda b, n, e: {p: 0.0 for p in agreed}
+    monkeypatch.setattr(sd, "flood", flat)
+    assert sd.correspondences(before, now, agreed) == [("a shelf", "bay no")]
 
 
 def test_cast_to_one_type(spark):

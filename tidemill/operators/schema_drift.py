@@ -3,16 +3,16 @@
 Each file's schema is a small graph: the file, its two nests (mapped and extra columns), the
 headers in them, the words of their names, their value types. Between consecutive files the pairs
 of such nodes form a connectivity graph, over which match scores are propagated until they settle
-(similarity flooding). Correspondences are picked from the settled scores, one to one, among the
-pairs an exact check allows: both listed for one field, or cells that agree for the shared skus.
-Only schema-sized data reaches Python; the cells themselves are compared by joins.
+(similarity flooding). Correspondences are picked by settled score, one to one, and each has to be
+confirmed by an exact check: both listed for one field, or cells that agree for the shared skus.
+Only schema-sized data reaches Python; the cells themselves are compared by an aggregation.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,79 +31,95 @@ TRUTH_WORDS = ("true", "false", "yes", "no", "y", "n", "t", "f", "on", "off")
 TYPES = ("whole", "decimal", "truth", "date", "text")
 
 
-def value_type(c: Column) -> Column:
-    """The type of one filled cell."""
-    return let(
-        tidy(c),
-        lambda t: F.when(t.rlike(r"^[+-]?[0-9]+$"), F.lit("whole"))
+def _type_of(t: Column) -> Column:
+    """The type of a tidied, filled text."""
+    return (
+        F.when(t.rlike(r"^[+-]?[0-9]+$"), F.lit("whole"))
         .when(t.rlike(r"^[+-]?[0-9]*[.,][0-9]+$"), F.lit("decimal"))
         .when(F.lower(t).isin(*TRUTH_WORDS), F.lit("truth"))
         .when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9:.]+(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"), F.lit("date"))
-        .otherwise(F.lit("text")),
+        .otherwise(F.lit("text"))
     )
 
 
+def value_type(c: Column) -> Column:
+    """The type of one filled cell."""
+    return let(tidy(c), _type_of)
+
+
 def elements(rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(feed_id, key, header, field, in_extra, type): the headers of each file.
+    """(feed_id, key, header, spellings, place, field, in_extra, type): the headers of each file.
 
     A file has a header if any record has it. Headers that fold alike are one; its spelling is
-    the first in order. A header that folds to nothing is compared as written.
+    the first in order, `spellings` are all, and place is the last place any has in a record. A
+    header that folds to nothing is compared as written. Listed headers have the type `listed`: only
+    cells of extra are typed, and none but these are read.
     """
-    cells = rows.select("feed_id", F.explode("original").alias("header", "cell"), F.col("extra").alias("__extra"))
-    # a column of its own, so that each cell is typed once and not for every count
-    typed = cells.select(
-        "feed_id", "header", F.when(~is_blank(F.col("cell")), value_type(F.col("cell"))).alias("__kind"),
-        F.coalesce(F.map_contains_key("__extra", F.col("header")), F.lit(False)).alias("__in"),
-    )
-    counts = typed.groupBy("feed_id", "header").agg(
-        *[F.count_if(F.col("__kind") == t).alias(f"__{t}") for t in TYPES], F.max("__in").alias("in_extra")
+    # records of a file mostly have the same headers, so whole lists are made distinct before they are taken apart
+    lists = rows.select("feed_id", F.map_keys("original").alias("hs")).groupBy("feed_id", "hs").agg(F.count(F.lit(1)).alias("n"))
+    heads = lists.select("feed_id", F.posexplode("hs").alias("place", "header"))
+    # columns of their own, so that each cell is tidied and typed once
+    cells = rows.select("feed_id", F.explode("extra").alias("header", "cell")).withColumn("__t", tidy(F.col("cell")))
+    typed = cells.withColumn("__kind", F.when(F.col("__t") != "", _type_of(F.col("__t"))))
+    counts = typed.groupBy("feed_id", "header").agg(*[F.count_if(F.col("__kind") == t).alias(f"__{t}") for t in TYPES])
+    none = [F.lit(0).cast("bigint").alias(f"__{t}") for t in TYPES]
+    every = heads.select("feed_id", "header", "place", F.lit(False).alias("in_extra"), *none).unionByName(
+        counts.select("feed_id", "header", F.lit(None).cast("int").alias("place"), F.lit(True).alias("in_extra"), *[f"__{t}" for t in TYPES])
     )
-    named = counts.withColumn("key", F.coalesce(F.nullif(fold(F.col("header")), F.lit("")), F.col("header")))
+    named = every.withColumn("key", F.coalesce(F.nullif(fold(F.col("header")), F.lit("")), F.col("header")))
+    held = F.col("place").isNotNull()
     one = named.groupBy("feed_id", "key").agg(
-        F.min("header").alias("header"), F.max("in_extra").alias("in_extra"), *[F.sum(f"__{t}").alias(f"__{t}") for t in TYPES]
-    )
+        F.min(F.when(held, F.col("header"))).alias("header"), F.collect_set(F.when(held, F.col("header"))).alias("spellings"), F.max("place").alias("place"),
+        F.max("in_extra").alias("in_extra"), *[F.sum(f"__{t}").alias(f"__{t}") for t in TYPES],
+    ).where(F.col("place").isNotNull())
     filled = sum((F.col(f"__{t}") for t in TYPES[1:]), F.col(f"__{TYPES[0]}"))
-    kind = F.when(filled == 0, F.lit("empty"))
+    kind = F.when(~F.col("in_extra"), F.lit("listed")).when(filled == 0, F.lit("empty"))
     for t in TYPES:
         kind = kind.when(F.col(f"__{t}") >= TYPE_SHARE * filled, F.lit(t))
     known = aliases.select(fold(F.col("header")).alias("__key"), "field").groupBy("__key").agg(F.min("field").alias("field"))
     return one.join(small_side(known), F.col("key") == F.col("__key"), "left").select(
-        "feed_id", "key", "header", "field", "in_extra", kind.otherwise(F.lit("mixed")).alias("type")
+        "feed_id", "key", "header", "spellings", "place", "field", "in_extra", kind.otherwise(F.lit("mixed")).alias("type")
     )
 
 
-def _alias_map(aliases: DataFrame, field: str) -> list[str]:
-    """Folded headers of one field; as many as the alias list has for it."""
-    return [r[0] for r in aliases.where(F.col("field") == field).select(fold(F.col("header"))).distinct().collect()]
-
-
-def agreements(rows: DataFrame, gone: DataFrame, new: DataFrame, sku_headers: Iterable[str]) -> DataFrame:
+def agreements(rows: DataFrame, lone: DataFrame, skus: DataFrame) -> DataFrame:
     """(feed_id, gone_key, new_key, share): how often the cells of two headers agree.
 
-    `gone` has (feed_id, before, key) and `new` (feed_id, key). Of a file's rows with one sku the
-    first line counts. Only cells filled on both sides are compared, tidied. Each joined row holds
-    the few headers that came or went, never the pairs of a whole schema.
+    `lone` has (feed_id, of, old, key, spellings, field): the headers of file `of` that went (old 1)
+    or came (old 0) with file `feed_id`; `skus` (feed_id, headers) where a file holds its skus. Of a file's
+    rows with one sku the first line counts; of several sku columns the last filled one. Only cells filled on
+    both sides are compared, tidied, by 64-bit hashes, and only if one of the two headers is not
+    listed. Both sides of a file meet in one aggregation by sku; a joined row holds the few headers
+    that came or went, never the pairs of a whole schema.
     """
-    skus = list(sku_headers)
-    with_sku = F.filter(F.map_entries("original"), lambda e: fold(e["key"]).isin(*skus) & ~is_blank(e["value"]))
-    base = rows.select("feed_id", "line", "original", fold(F.get(with_sku, F.lit(-1) + F.size(with_sku))["value"]).alias("sku")).where(F.col("sku") != "")
-
-    def side(wanted: DataFrame, by: str, name: str) -> DataFrame:
-        lists = wanted.groupBy(F.col("feed_id").alias("__pair"), F.col(by).alias("__of")).agg(F.collect_set("key").alias("__keys"))
-        cells = F.filter(
-            F.transform(F.map_entries("original"), lambda e: F.struct(F.coalesce(F.nullif(fold(e["key"]), F.lit("")), e["key"]).alias("k"), tidy(e["value"]).alias("v"))),
-            lambda e: F.array_contains(F.col("__keys"), e["k"]) & (e["v"] != ""),
+    mixed = Window.partitionBy("feed_id")
+    free = F.col("field").isNull()
+    # a file in which nothing went, nothing came, or all of both is listed has nothing to compare
+    asked = lone.withColumns({"__sides": F.min("old").over(mixed) + F.max("old").over(mixed) * 2, "__free": F.max(free).over(mixed)})
+    asked = asked.where((F.col("__sides") == 2) & F.col("__free"))
+    entry = F.struct(F.col("key").alias("k"), free.alias("free"), F.col("spellings").alias("hs"))
+    sides = asked.groupBy(F.col("of").alias("__of"), F.col("feed_id").alias("pair"), "old").agg(F.collect_list(entry).alias("wanted"))
+    per_file = sides.groupBy("__of").agg(F.collect_list(F.struct("pair", "old", "wanted")).alias("sides"))  # at most two a file
+    wanted = per_file.join(skus.withColumnRenamed("feed_id", "__file"), F.col("__of") == F.col("__file")).select("__of", "sides", F.col("headers").alias("__skus"))
+    cell = lambda h: F.try_element_at(F.col("original"), h)
+    joined = rows.select("feed_id", "line", "original").join(small_side(wanted), F.col("feed_id") == F.col("__of"))
+    named = F.filter(F.transform("__skus", cell), lambda v: ~is_blank(v))
+    keyed = joined.withColumn("sku", fold(F.element_at(named, F.when(F.size(named) > 0, F.lit(-1))))).where(F.col("sku") != "")
+    each = keyed.select("line", "original", "sku", F.inline("sides"))
+    held = F.flatten(F.transform("wanted", lambda w: F.transform(w["hs"], lambda h: F.struct(w["k"].alias("k"), w["free"].alias("free"), tidy(cell(h)).alias("t")))))
+    hashed = F.transform(F.filter(held, lambda x: x["t"] != ""), lambda x: F.struct(x["k"].alias("k"), x["free"].alias("free"), F.xxhash64(x["t"]).alias("h")))
+    first = each.select("pair", "sku", "old", F.struct("line", hashed.alias("cells")).alias("__at"))
+    both = first.groupBy("pair", "sku").agg(F.min(F.when(F.col("old") == 1, F.col("__at"))).alias("olds"), F.min(F.when(F.col("old") == 0, F.col("__at"))).alias("news"))
+    met = F.flatten(
+        F.transform(
+            "olds.cells",
+            lambda o: F.transform(
+                F.filter("news.cells", lambda n: o["free"] | n["free"]), lambda n: F.struct(o["k"].alias("gone_key"), n["k"].alias("new_key"), (o["h"] == n["h"]).alias("same"))
+            ),
         )
-        joined = base.join(small_side(lists), F.col("feed_id") == F.col("__of"))
-        return joined.groupBy("__pair", "sku").agg(F.min_by(cells, "line").alias(name))
-
-    old = side(gone, "before", "olds").withColumnsRenamed({"__pair": "__old_pair", "sku": "__old_sku"})
-    cur = side(new.withColumn("__own", F.col("feed_id")), "__own", "news")
-    both = cur.join(old, (F.col("__pair") == F.col("__old_pair")) & (F.col("sku") == F.col("__old_sku")))
-    long = both.select(F.col("__pair").alias("feed_id"), F.explode("olds").alias("o"), "news").select("feed_id", "o", F.explode("news").alias("n"))
-    return long.groupBy("feed_id", F.col("o.k").alias("gone_key"), F.col("n.k").alias("new_key")).agg(
-        F.avg(F.when(F.col("o.v") == F.col("n.v"), 1.0).otherwise(0.0)).alias("share")
     )
+    long = both.where(F.col("olds").isNotNull() & F.col("news").isNotNull()).select(F.col("pair").alias("feed_id"), F.inline(met))
+    return long.groupBy("feed_id", "gone_key", "new_key").agg(F.avg(F.col("same").cast("double")).alias("share"))
 
 
 # ------------------------------------------------------------ similarity flooding
@@ -118,71 +134,82 @@ def name_likeness(a: str, b: str) -> float:
     return len(x & y) / max(1, len(x | y))
 
 
-def flood(gone: list[dict], new: list[dict], evidence: dict[tuple[str, str], float], rounds: int = 100, tolerance: float = 1e-4) -> dict[tuple[str, str], float]:
-    """Settled match scores of every pair of gone and new headers.
+def flood(before: list[dict], now: list[dict], evidence: dict[tuple[str, str], float], rounds: int = 60, tolerance: float = 1e-4) -> dict[tuple[str, str], float]:
+    """Settled match scores of every pair of a gone and a new header, over the graphs of both whole schemas.
 
-    Nodes are pairs of headers, words, types and nests; an edge joins two pairs if both of their
-    members are joined by an edge of the same label. What flows over an edge is divided by the
-    number of edges of that label at its start, and scores are scaled to a largest of 1 each round.
+    Nodes are pairs of headers, words, types, nests and files; an edge joins two pairs if both of
+    their members are joined by an edge of the same label. Headers that stay are pairs too, and pass
+    on what their words, types and nests stand for. What flows over an edge is divided by the number
+    of edges of that label at its start, and scores are scaled to a largest of 1 each round. `evidence`
+    says what is known of a pair before: 2 for one listed field, else the share of equal cells.
     """
-    start: dict[tuple, float] = {}
-    links: dict[str, list[tuple[tuple, tuple]]] = {"word": [], "type": [], "nest": []}
-    for a in gone:
-        for b in new:
-            pair = ("header", a["key"], b["key"])
-            start[pair] = 0.5 * name_likeness(a["key"], b["key"]) + evidence.get((a["key"], b["key"]), 0.0) + 0.05
-            for u in a["key"].split():
-                for v in b["key"].split():
-                    word = ("word", u, v)
-                    start.setdefault(word, name_likeness(u, v))
-                    links["word"].append((pair, word))
-            kinds = ("type", a["type"], b["type"])
-            start.setdefault(kinds, 1.0 if a["type"] == b["type"] else 0.0)
-            links["type"].append((pair, kinds))
-            nests = ("nest", a["in_extra"], b["in_extra"])
-            start.setdefault(nests, 1.0 if a["in_extra"] == b["in_extra"] else 0.0)
-            links["nest"].append((pair, nests))
-    flows: list[tuple[tuple, tuple, float]] = []
+    old_keys, new_keys = {e["key"] for e in before}, {e["key"] for e in now}
+    gone, new = [e for e in before if e["key"] not in new_keys], [e for e in now if e["key"] not in old_keys]
+    held = {e["key"]: e for e in before}
+    number: dict[tuple, int] = {}
+    start: list[float] = []
+
+    def node(kind: str, a, b, first: float) -> int:
+        at = number.setdefault((kind, a, b), len(start))
+        if at == len(start):
+            start.append(first)
+        return at
+
+    links: dict[str, list[tuple[int, int]]] = {"word": [], "type": [], "nest": [], "file": []}
+    root = node("file", None, None, 1.0)
+    pairs = [(a, b, 0.5 * name_likeness(a["key"], b["key"]) + evidence.get((a["key"], b["key"]), 0.0) + 0.05) for a in gone for b in new]
+    pairs += [(held[e["key"]], e, 1.0) for e in now if e["key"] in held]
+    for a, b, first in pairs:
+        pair = node("header", a["key"], b["key"], first)
+        links["word"] += [(pair, node("word", u, v, name_likeness(u, v))) for u in a["key"].split() for v in b["key"].split()]
+        links["type"].append((pair, node("type", a["type"], b["type"], float(a["type"] == b["type"]))))
+        nest = node("nest", a["in_extra"], b["in_extra"], float(a["in_extra"] == b["in_extra"]))
+        links["nest"].append((pair, nest))
+        if (nest, root) not in links["file"]:
+            links["file"].append((nest, root))
+    ends, weights = [], []
     for edges in links.values():
-        for way in (edges, [(q, p) for p, q in edges]):
-            out: dict[tuple, int] = {}
-            for p, _ in way:
-                out[p] = out.get(p, 0) + 1
-            flows += [(p, q, 1.0 / out[p]) for p, q in way]
-    score = dict(start)
+        if edges:
+            e = np.array(edges)
+            for way in (e, e[:, ::-1]):
+                ends.append(way)
+                weights.append(1.0 / np.bincount(way[:, 0])[way[:, 0]])
+    flow, share = np.vstack(ends), np.concatenate(weights)
+    first = np.array(start)
+    score = first.copy()
     for _ in range(rounds):
-        base = {p: start[p] + score[p] for p in start}
-        nxt = dict(base)
-        for p, q, w in flows:
-            nxt[q] += w * base[p]
-        top = max(nxt.values(), default=1.0) or 1.0
-        nxt = {p: v / top for p, v in nxt.items()}
-        moved = math.sqrt(sum((nxt[p] - score[p]) ** 2 for p in nxt))
+        base = first + score
+        nxt = base + np.bincount(flow[:, 1], weights=share * base[flow[:, 0]], minlength=len(first))
+        nxt /= nxt.max()
+        moved = float(np.linalg.norm(nxt - score))
         score = nxt
         if moved < tolerance:
             break
-    return {(p[1], p[2]): v for p, v in score.items() if p[0] == "header"}
+    return {(p[1], p[2]): float(score[i]) for p, i in number.items() if p[0] == "header" and p[1] not in new_keys}
 
 
-def correspondences(gone: list[dict], new: list[dict], evidence: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
-    """One-to-one pairs (gone key, new key) in the order of their flooded scores.
+def correspondences(before: list[dict], now: list[dict], agreed: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
+    """One-to-one pairs (gone key, new key): by settled score, the highest first, each confirmed by an exact check.
 
-    A pair is allowed if both headers are listed for one field, or if one is not listed and the
-    cells agree for at least AGREEMENT of the shared skus.
+    The check refuses a pair unless both headers are listed for one field, or one is not listed and the
+    cells agree for at least AGREEMENT of the shared skus. A refused pair takes neither header.
     """
-    allowed = set()
-    for a in gone:
-        for b in new:
-            listed = a["field"] is not None and b["field"] is not None
-            if (a["field"] == b["field"]) if listed else (evidence.get((a["key"], b["key"]), 0.0) >= AGREEMENT - 1e-9):
-                allowed.add((a["key"], b["key"]))
-    if not allowed:
+    old_keys, new_keys = {e["key"]: e for e in before}, {e["key"]: e for e in now}
+    if not old_keys.keys() - new_keys.keys() or not new_keys.keys() - old_keys.keys():
         return []
-    scores = flood(gone, new, evidence)
-    same = {(a["key"], b["key"]) for a in gone for b in new if a["field"] is not None and a["field"] == b["field"]}
+    evidence = dict(agreed)
+    for a in before:
+        for b in now:
+            if a["field"] is not None and b["field"] is not None:
+                evidence[a["key"], b["key"]] = 2.0 if a["field"] == b["field"] else 0.0
+
+    def confirmed(p: tuple[str, str]) -> bool:
+        return evidence.get(p, 0.0) >= AGREEMENT - 1e-9
+
+    scores = flood(before, now, evidence)
     taken_a, taken_b, out = set(), set(), []
-    for a, b in sorted(allowed, key=lambda p: (p not in same, -scores[p], p)):
-        if a not in taken_a and b not in taken_b:
+    for a, b in sorted(scores, key=lambda p: (-round(scores[p], 9), p)):
+        if a not in taken_a and b not in taken_b and confirmed((a, b)):
             out.append((a, b))
             taken_a.add(a)
             taken_b.add(b)
@@ -194,7 +221,7 @@ _OUT = "feed_id long, key string, header string, drift string, lineage string, b
 
 def common_type(types: set[str]) -> str:
     """The narrowest type that holds them all: whole numbers widen to decimals, all else to text; empty columns fit any."""
-    kinds = types - {"empty"}
+    kinds = types - {"empty", "listed"}
     if kinds <= {"whole", "decimal"} and kinds:
         return "decimal" if "decimal" in kinds else "whole"
     return kinds.pop() if len(kinds) == 1 and kinds <= set(TYPES) else "text"
@@ -222,8 +249,7 @@ def match_series(schema: pd.DataFrame, agreed: pd.DataFrame) -> pd.DataFrame:
                 out.append((feed, k, e["header"], None, lineage[k], None))
         else:
             gone = [e for k, e in before.items() if k not in now]
-            new = [e for k, e in now.items() if k not in before]
-            pairs = {b: a for a, b in correspondences(gone, new, shares.get(feed, {}))}
+            pairs = {b: a for a, b in correspondences(list(before.values()), list(now.values()), shares.get(feed, {}))}
             kept = set(pairs.values())
             for k, e in now.items():
                 if k in before:
@@ -260,23 +286,25 @@ def drift(rows: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
     placed = files.join(held, files["feed_id"] == F.col("__held")).select(
         "series_id",
         F.col("feed_id").alias("__feed"),
-        F.row_number().over(order).alias("place"),
+        F.row_number().over(order).alias("place_in_series"),
         F.lag("feed_id").over(order).alias("before"),
+        F.lead("feed_id").over(order).alias("after"),
     )
-    placed = checkpointed(placed)
-    located = schema.join(small_side(placed), F.col("feed_id") == F.col("__feed")).drop("__feed")
-    # headers that came or went: present on one side of a consecutive pair only
-    after = placed.where(F.col("before").isNotNull()).select(F.col("__feed").alias("pair"), F.col("before").alias("of"))
-    sides = schema.select("feed_id", "key").join(
-        small_side(after.select("pair", F.col("of").alias("__of"), F.lit(1).alias("old")).union(after.select("pair", F.col("pair").alias("__of"), F.lit(0).alias("old")))),
-        F.col("feed_id") == F.col("__of"),
-    )
-    lone = sides.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n"), F.max("old").alias("old"), F.max("__of").alias("of")).where(F.col("n") == 1)
-    gone = lone.where(F.col("old") == 1).select(F.col("pair").alias("feed_id"), F.col("of").alias("before"), "key")
-    new = lone.where(F.col("old") == 0).select(F.col("pair").alias("feed_id"), "key")
-    agreed = agreements(rows, gone, new, _alias_map(aliases, "sku"))
-    agreed = agreed.join(small_side(placed.select("series_id", "__feed")), F.col("feed_id") == F.col("__feed")).drop("__feed")
-    return located.groupBy("series_id").cogroup(agreed.groupBy("series_id")).applyInPandas(match_series, _OUT)
+    located = schema.drop("spellings", "place").join(placed, F.col("feed_id") == F.col("__feed")).drop("__feed")
+    located = checkpointed(located.withColumnRenamed("place_in_series", "place"))
+    # a header that came or went is on one side of a consecutive pair only
+    ways = F.array(F.struct(F.col("feed_id").alias("pair"), F.lit(0).alias("old")), F.struct(F.col("after").alias("pair"), F.lit(1).alias("old")))
+    sides = located.select("feed_id", "key", "field", "before", F.inline(ways)).where(F.col("pair").isNotNull() & ((F.col("old") == 1) | F.col("before").isNotNull()))
+    lone = sides.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n"), F.max("old").alias("old"), F.max("feed_id").alias("of"), F.max("field").alias("field")).where(F.col("n") == 1)
+    spelt = schema.select(F.col("feed_id").alias("__f"), F.col("key").alias("__k"), "spellings")
+    lone = lone.join(spelt, (F.col("of") == F.col("__f")) & (F.col("key") == F.col("__k"))).select(F.col("pair").alias("feed_id"), "of", "old", "key", "spellings", "field")
+    at = F.array_sort(F.collect_list(F.struct("place", "spellings")))
+    skus = schema.where(F.col("field") == "sku").groupBy("feed_id").agg(F.flatten(F.transform(at, lambda x: x["spellings"])).alias("headers"))
+    agreed = agreements(rows, lone, skus)
+    series = placed.select(F.col("series_id").alias("__series"), F.col("__feed").alias("__pair"))
+    agreed = agreed.join(series, F.col("feed_id") == F.col("__pair")).select(F.col("__series").alias("series_id"), "feed_id", "gone_key", "new_key", "share")
+    shown = located.drop("before", "after")
+    return shown.groupBy("series_id").cogroup(agreed.groupBy("series_id")).applyInPandas(match_series, _OUT)
 
 
 def cast_text(cell: Column, kind: Column) -> Column:
