@@ -47,6 +47,19 @@ def value_type(c: Column) -> Column:
     return let(tidy(c), _type_of)
 
 
+def _headers(rows: DataFrame) -> DataFrame:
+    """(feed_id, place, header): the headers of each file as written, at each place they have in a record.
+
+    Records of a file mostly have the same headers, so whole lists are made distinct before they are taken apart.
+    """
+    lists = rows.select("feed_id", F.map_keys("original").alias("hs")).groupBy("feed_id", "hs").agg(F.count(F.lit(1)).alias("n"))
+    return lists.select("feed_id", F.posexplode("hs").alias("place", "header"))
+
+
+def _key(header: Column) -> Column:
+    return F.coalesce(F.nullif(fold(header), F.lit("")), header)
+
+
 def elements(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """(feed_id, key, header, spellings, place, field, in_extra, type): the headers of each file.
 
@@ -55,9 +68,7 @@ def elements(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     header that folds to nothing is compared as written. Listed headers have the type `listed`: only
     cells of extra are typed, and none but these are read.
     """
-    # records of a file mostly have the same headers, so whole lists are made distinct before they are taken apart
-    lists = rows.select("feed_id", F.map_keys("original").alias("hs")).groupBy("feed_id", "hs").agg(F.count(F.lit(1)).alias("n"))
-    heads = lists.select("feed_id", F.posexplode("hs").alias("place", "header"))
+    heads = _headers(rows)
     # columns of their own, so that each cell is tidied and typed once
     cells = rows.select("feed_id", F.explode("extra").alias("header", "cell")).withColumn("__t", tidy(F.col("cell")))
     typed = cells.withColumn("__kind", F.when(F.col("__t") != "", _type_of(F.col("__t"))))
@@ -66,7 +77,7 @@ def elements(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     every = heads.select("feed_id", "header", "place", F.lit(False).alias("in_extra"), *none).unionByName(
         counts.select("feed_id", "header", F.lit(None).cast("int").alias("place"), F.lit(True).alias("in_extra"), *[f"__{t}" for t in TYPES])
     )
-    named = every.withColumn("key", F.coalesce(F.nullif(fold(F.col("header")), F.lit("")), F.col("header")))
+    named = every.withColumn("key", _key(F.col("header")))
     held = F.col("place").isNotNull()
     one = named.groupBy("feed_id", "key").agg(
         F.min(F.when(held, F.col("header"))).alias("header"), F.collect_set(F.when(held, F.col("header"))).alias("spellings"), F.max("place").alias("place"),
@@ -334,26 +345,36 @@ def unified(rows: DataFrame, matched: DataFrame, fields: Iterable[str]) -> DataF
     extra maps the lineage of each unlisted column to its cell, cast to the one type the column has
     over all files (`cast_text`); odd maps it to the cell as delivered where that is not of the type.
     A column a file lacks is in neither, nor is a blank cell. Columns whose type changed are text.
+    Both maps are in the order of their keys.
     """
-    names = matched.where(F.col("drift").isNull() | (F.col("drift") != "removed"))
-    entry = F.struct(F.col("key"), F.struct("lineage", "common_type").alias("to"))
-    maps = names.groupBy(F.col("feed_id").alias("__feed")).agg(F.map_from_entries(F.collect_list(entry)).alias("__names"))
-    needed = rows.select("row_id", "feed_id", "line", "original")
-    joined = needed.join(small_side(maps), F.col("feed_id") == F.col("__feed"), "left")
-    key = lambda k: F.coalesce(F.nullif(fold(k), F.lit("")), k)
-    entries = F.transform(F.map_entries("original"), lambda e: F.struct(F.try_element_at(F.col("__names"), key(e["key"])).alias("to"), e["value"].alias("v")))
     fields = list(fields)
-    listed = F.transform(entries, lambda e: F.struct(e["to"]["lineage"].alias("k"), e["v"].alias("v"), e["to"]["common_type"].alias("kind")))
-    cells = joined.select("row_id", "feed_id", "line", listed.alias("__e"))
+    names = matched.where(F.col("drift").isNull() | (F.col("drift") != "removed")).select(F.col("feed_id").alias("__file"), F.col("key").alias("__key"), "lineage", "common_type")
+    heads = _headers(rows).groupBy("feed_id", "header").agg(F.min("place").alias("place")).withColumn("key", _key(F.col("header")))
+    known = heads.join(names, (F.col("feed_id") == F.col("__file")) & (F.col("key") == F.col("__key")))
+    # of each file: the headers of each field and of all other columns, in order
+    own_field = F.col("lineage").isin(*fields)
+    entry = F.struct("lineage", "place", "header", "common_type")
+    per_file = known.groupBy("__file").agg(
+        F.array_sort(F.collect_list(F.when(own_field, entry))).alias("__listed"), F.array_sort(F.collect_list(F.when(~own_field, entry))).alias("__rest")
+    )
+    by_field = F.struct(*[F.transform(F.filter("__listed", lambda e: e["lineage"] == f), lambda e: e["header"]).alias(f) for f in fields])  # noqa: B023
+    placed = per_file.select("__file", by_field.alias("__fields"), "__rest")
+    joined = rows.select("row_id", "feed_id", "line", "original").join(small_side(placed), F.col("feed_id") == F.col("__file"), "left")
+    in_record = lambda h: F.map_contains_key(F.col("original"), h)
 
     def first_cell(field: str) -> Column:
-        return F.get(F.filter("__e", lambda e: e["k"] == field), F.lit(0))["v"].alias(field)
+        # a record may lack the first of several headers of a field
+        return F.try_element_at("original", F.get(F.filter(F.col(f"__fields.{field}"), in_record), F.lit(0))).alias(field)
 
-    own = [first_cell(f) for f in fields]
+    own = [F.when(F.col("original").isNotNull(), first_cell(f)).alias(f) for f in fields]
     # headers that fold alike share a lineage; the first cell counts
-    rest = F.filter("__e", lambda e: e["k"].isNotNull() & ~e["k"].isin(*fields) & ~is_blank(e["v"]))
+    rest = F.filter(
+        F.transform("__rest", lambda e: F.struct(e["lineage"].alias("k"), F.try_element_at("original", e["header"]).alias("v"), e["common_type"].alias("kind"))),
+        lambda e: ~is_blank(e["v"]),
+    )
     typed = F.transform(rest, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v"), cast_text(e["v"], e["kind"]).alias("c")))
-    cells = cells.select("row_id", "feed_id", "line", *own, typed.alias("__t"))
+    none = F.array().cast("array<struct<k:string,v:string,c:string>>")
+    cells = joined.select("row_id", "feed_id", "line", *own, F.coalesce(typed, none).alias("__t"))
 
     def as_map(kept, value: str) -> Column:
         return let(
