@@ -21,7 +21,9 @@ LADDER = survivors.Ladder(
 
 # ------------------------------------------------------------- 2: vocabulary
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab_match.matched(table(spark, sf_dir, "feed_row"), table(spark, sf_dir, "vocab_entry"), ("vendor", "stock_status", "published"))
+    vocabulary = table(spark, sf_dir, "vocab_entry")
+    wordings = vocab_match.learned_wordings(table(spark, sf_dir, "change_log"), vocabulary)
+    return vocab_match.matched(table(spark, sf_dir, "feed_row"), vocabulary, ("vendor", "stock_status", "published"), wordings=wordings)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

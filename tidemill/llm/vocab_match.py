@@ -1,11 +1,14 @@
 """Free-entered values mapped to a canonical list (problem 2).
 
-The canonical values, their spellings and the forms they are known by are indexed by symmetric
-deletes: every string left when up to `max_edits` characters are taken out. A value meets a
-form within the bound if the two share such a string, so a lookup costs the deletes of the value
-and never a pass over the list. Candidates are ranked by weighted Damerau-Levenshtein distance,
-then by how often the canonical value occurs in the data. The index is broadcast: its size is that
-of the list, which the caller checks. Values that mean none of the list are reported with -1.
+The canonical values, and wordings known for them from evidence, are a dictionary of forms, indexed
+by symmetric deletes: every string left when up to a bounded number of characters are taken out.
+Each distinct value is probed with its own deletes. Index and probes are tables, and they meet in
+one equi-join, so a lookup costs the deletes of the value and never a pass over the list, whatever
+the list's size. Candidates are ranked by weighted Damerau-Levenshtein distance, then by how often
+the canonical value occurs in the data. Answers are joined back to the cells; values that mean none
+of the list are reported with -1.
+
+No wording is written down here. `learned_wordings` takes them from logged corrections.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import pandas as pd
@@ -21,57 +24,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import is_blank
-from tidemill.session import small_side
-
-#: Largest list whose index is broadcast; more entries are refused rather than shipped.
-MAX_ENTRIES = 200_000
-
-# Words and marks around a company's name that are not part of it.
+from tidemill.session import checkpointed, small_side
+
+#: A side of a join is broadcast up to this size, measured.
+BROADCAST_BYTES = 32 * 1024 * 1024
+#: Edits a canonical name, and any other form, may be away.
+NAME_EDITS, PHRASE_EDITS = 2, 1
+#: Share of the corrections of a wording that must agree for it to be learned.
+AGREED = 0.9
+#: Letters a wording needs to count inside a longer phrase.
+INSIDE = 6
+
+# Legal forms at the end of a company's name, and articles before it.
 LEGAL_FORMS = (
     "inc", "incorporated", "ltd", "limited", "llc", "llp", "plc", "corp", "corporation", "co", "company", "group",
     "holding", "gmbh", "ag", "kg", "bv", "nv", "sa", "srl", "sarl", "spa", "oy", "ab", "as", "aps", "pty",
 )
-ASIDES = ("import", "imports", "export", "dropship", "new", "old")
 LEADS = ("the",)
-
-# Spellings of the stock states, in several languages.
-STOCK_FORMS = {
-    "in_stock": (
-        "in stock", "instock", "available", "available now", "on hand", "ready to ship", "plenty in stock", "yes", "y", "1",
-        "active", "auf lager", "lieferbar", "vorrätig", "en stock", "disponible", "en existencia", "disponibile", "disponível",
-        "em estoque", "op voorraad", "i lager", "på lager", "w magazynie", "dostępny", "в наличии", "在庫あり",
-    ),
-    "out_of_stock": (
-        "out of stock", "outofstock", "oos", "sold out", "no stock", "none left", "no", "n", "0", "ausverkauft", "nicht vorrätig",
-        "rupture de stock", "en rupture", "épuisé", "agotado", "sin existencias", "esaurito", "esgotado", "uitverkocht", "slutsåld",
-        "udsolgt", "wyprzedane", "нет в наличии", "在庫切れ", "unavailable", "not in stock", "not available",
-    ),
-    "backorder": (
-        "back order", "backorder", "on backorder", "on back order", "backordered", "b/o", "rückstand", "im rückstand", "nachbestellt",
-        "en reliquat", "pedido pendiente", "in arretrato", "nabestelling", "restnoterad", "restordre", "awaiting stock",
-    ),
-    "preorder": (
-        "pre order", "preorder", "pre order only", "available to pre order", "available for pre order", "coming soon", "vorbestellbar",
-        "vorbestellung", "précommande", "en précommande", "reserva anticipada", "preventa", "preordine", "prenotabile", "pré venda",
-        "voorbestelling", "förbeställning", "forudbestilling", "przedsprzedaż", "предзаказ", "予約",
-    ),
-    "discontinued": (
-        "discontinued", "discontinued line", "disc", "eol", "end of life", "delisted", "no longer made", "no longer available",
-        "auslaufartikel", "eingestellt", "auslaufartikel eingestellt", "arrêté", "abandonné", "descatalogado", "fuori produzione",
-        "descontinuado", "uit assortiment", "utgått", "udgået", "wycofany", "снят с производства", "廃番",
-    ),
-}
-# Spellings of yes and no for a published flag, in several languages.
-PUBLISHED_FORMS = {
-    "true": (
-        "true", "yes", "y", "1", "t", "on", "active", "enabled", "live", "visible", "published", "online", "shown", "x", "x yes",
-        "ja", "oui", "sí", "si", "sim", "tak", "да", "wahr", "vrai", "はい",
-    ),
-    "false": (
-        "false", "no", "n", "0", "f", "off", "inactive", "disabled", "hidden", "not live", "unpublished", "not published", "not visible",
-        "offline", "draft", "nein", "non", "não", "nee", "nej", "nie", "нет", "falsch", "faux", "いいえ",
-    ),
-}
+# Words that turn a phrase round.
+NEGATIONS = ("not", "no", "never")
 
 
 def simplify(value: str) -> str:
@@ -158,208 +129,261 @@ def allowed_edits(length: int, most: int) -> int:
     return 0 if length < 4 else min(1, most) if length < 7 else most
 
 
-class DeleteIndex:
-    """Forms -> entry ids, found within a bounded number of edits by symmetric deletes."""
-
-    def __init__(self, max_edits: int = 2) -> None:
-        self.max_edits = max_edits
-        self.forms: dict[str, set[int]] = {}
-        self.by_delete: dict[str, list[str]] = {}
-
-    def add(self, form: str, entry: int) -> None:
-        if form not in self.forms:
-            self.forms[form] = set()
-            for d in deletes(form, allowed_edits(len(form), self.max_edits)):
-                self.by_delete.setdefault(d, []).append(form)
-        self.forms[form].add(entry)
-
-    def near(self, s: str, most: int | None = None) -> list[tuple[int, str]]:
-        """(edits, form) of all forms within the bound; longer values than any form could match cost nothing."""
-        bound = self.max_edits if most is None else min(most, self.max_edits)
-        if len(s) < 3 or len(s) > self.longest + bound:
-            return []
-        seen: set[str] = set()
-        for d in deletes(s, bound):
-            seen.update(self.by_delete.get(d, ()))
-        limits = {f: min(bound, allowed_edits(len(f), self.max_edits)) for f in seen}
-        return [(d, f) for f, most in limits.items() if (d := edits(s, f, most)) <= most]
-
-    @property
-    def longest(self) -> int:
-        if not hasattr(self, "_longest") or self._longest[0] != len(self.forms):
-            self._longest = (len(self.forms), max(map(len, self.forms), default=0))
-        return self._longest[1]
-
-
-class PhraseMatcher:
-    """A short list whose entries have many wordings (states, flags)."""
-
-    def __init__(self, entries: Mapping[str, int], wordings: Mapping[str, Iterable[str]], counts: Mapping[int, int] | None = None) -> None:
-        self.index, self.counts, self.phrases = DeleteIndex(1), counts or {}, []
-        for canonical, entry in entries.items():
-            for w in {canonical, *wordings.get(canonical, ())}:
-                clean = words(simplify(w))
-                self.index.add("".join(clean), entry)
-                if len("".join(clean)) >= 6:
-                    self.phrases.append((clean, entry))
-        self.phrases.sort(key=lambda p: (-len(p[0]), -len("".join(p[0]))))
-
-    def find(self, value: str) -> int:
+# ------------------------------------------------------------------- the index
+_INDEX = "field string, kind string, key string, form string, entry_id long, n long"
+#: Kinds of keys: a whole form; a maker alone; a maker and its trade; a known maker; a known trade; a wording inside a phrase.
+FORM, ALONE, PAIR, MAKER, TRADE, INNER = "form", "alone", "pair", "maker", "trade", "inner"
+
+
+def form_keys(field: str, text: str, entry: int, n: int, is_name: bool, learned: bool) -> Iterator[tuple]:
+    """The index rows of one canonical value or learned wording."""
+    parts = words(simplify(text))
+    form = "".join(parts)
+    if not form:
+        return
+    bound = NAME_EDITS if is_name else PHRASE_EDITS
+    # a learned spelling of a name may be a misspelling itself, so nothing is sought around it
+    for d in deletes(form, 0 if is_name and learned else allowed_edits(len(form), bound)):
+        yield field, FORM, d, form, entry, n
+    if not is_name:
+        if len(form) >= INSIDE:
+            yield field, INNER, form, " ".join(parts), entry, n
+    elif not learned:
+        maker, rest = parts[0], parts[1:]
+        for d in deletes(maker, min(1, allowed_edits(len(maker), NAME_EDITS))):
+            yield field, ALONE, d, maker, entry, n
+        yield field, MAKER, maker, maker, None, 0
+        if rest:
+            for trade in {"".join(rest), skeleton(" ".join(rest))}:
+                yield field, TRADE, trade, trade, None, 0
+                for d in deletes(maker, allowed_edits(len(maker), NAME_EDITS)):
+                    yield field, PAIR, f"{d}|{trade}", maker, entry, n
+
+
+def readings(value: str) -> list[list[str]]:
+    """Readings of a name as words: decorations off, parts in either order."""
+    s = re.sub(r"\([^()]*\)\s*$", "", simplify(value)).strip()
+    # a word set off by a dash after two words or more stands beside the name
+    s = re.sub(r"^(\S+\s+\S.*?)\s+[-–]\s+\w+$", r"\1", s)
+    # letters with stops are one word
+    s = re.sub(r"\b(?:[a-z]\.){1,3}(?:[a-z]\b)?(?=\s|$|,)", lambda m: m.group().replace(".", ""), s)
+    forms = []
+
+    def trimmed(w: list[str]) -> list[str]:
+        while len(w) > 1 and w[0] in LEADS:
+            w = w[1:]
+        while len(w) > 1 and w[-1] in LEGAL_FORMS:
+            w = w[:-1]
+        return w
+
+    head, comma, tail = s.rpartition(",")
+    if comma and not [x for x in words(tail) if x not in LEGAL_FORMS]:
+        s, comma = head, ""
+    if comma:
+        forms.append(trimmed(words(tail)) + trimmed(words(head)))
+    if " by " in s:
+        what, _, who = s.partition(" by ")
+        forms.append(trimmed(words(who)) + trimmed(words(what)))
+    forms.append(trimmed(words(s)))
+    return [f for f in forms if f]
+
+
+_PROBES = "field string, value string, kind string, key string, reading int, split int, text string"
+
+
+def probe_keys(field: str, value: str, is_name: bool, longest: int, most_words: int) -> Iterator[tuple]:
+    """The keys under which a value is sought: (kind, key, reading, split, text compared with the form)."""
+    if not is_name:
         clean = words(simplify(value))
         s = "".join(clean)
         if not s:
-            return -1
-        exact = self.index.forms.get(s)
+            return
+        if len(s) <= longest + PHRASE_EDITS:
+            for d in deletes(s, PHRASE_EDITS if len(s) >= 3 else 0):
+                yield FORM, d, 0, 0, s
+        if not set(NEGATIONS) & set(clean):
+            inner = {"".join(clean[i : i + k]) for k in range(1, most_words + 1) for i in range(len(clean) - k + 1) if k < len(clean)}
+            for part in inner:
+                if INSIDE <= len(part) <= longest:
+                    yield INNER, part, 0, 0, part
+        return
+    for r, parts in enumerate(readings(value)):
+        s = "".join(parts)
+        if len(s) > longest + NAME_EDITS:
+            continue
+        for d in deletes(s, NAME_EDITS if len(s) >= 3 else 0):
+            yield FORM, d, r, 0, s
+        for d in deletes(s, 1 if len(parts) == 1 and len(s) >= 3 else 0):
+            yield ALONE, d, r, 0, s
+        for j in range(1, len(parts)):
+            maker, trade = "".join(parts[:j]), "".join(parts[j:])
+            yield MAKER, maker, r, j, maker
+            yield TRADE, trade, r, j, trade
+            for d in deletes(maker, NAME_EDITS if len(maker) >= 3 else 0):
+                yield PAIR, f"{d}|{trade}", r, j, maker
+
+
+# ------------------------------------------------------------------- ranking
+def best_phrase(hits: list[dict]) -> int:
+    """The entry of a phrase: an exact form, else the nearest one, else the longest wording inside it."""
+    exact = [h for h in hits if h["kind"] == FORM and h["text"] == h["form"]]
+    if exact:
+        return exact[0]["entry_id"] if exact[0]["owners"] == 1 else -1
+    near = [
+        (weighted_edits(h["text"], h["form"]), -h["n"], h["entry_id"])
+        for h in hits
+        if h["kind"] == FORM and edits(h["text"], h["form"], m := allowed_edits(len(h["form"]), PHRASE_EDITS)) <= m
+    ]
+    if near:
+        return min(near)[2]
+    inner = [(-len(h["form"].split(" ")), -len(h["text"]), -h["n"], h["entry_id"]) for h in hits if h["kind"] == INNER]
+    return min(inner)[3] if inner else -1
+
+
+def best_name(hits: list[dict]) -> int:
+    """The entry of a name: an exact form or a maker alone, else the nearest candidate of any reading.
+
+    A reading that ends in a known trade is that trade of the maker before it. A listed maker in
+    a trade it is not listed with is another name; a maker that is not listed may be a misspelt one
+    that has the trade. Other readings go by the whole form, or by a maker alone with one edit.
+    """
+    by_reading: dict[int, list[dict]] = {}
+    for h in hits:
+        by_reading.setdefault(h["reading"], []).append(h)
+    for _, hs in sorted(by_reading.items()):
+        exact = [h for h in hs if h["kind"] == FORM and h["text"] == h["form"]]
         if exact:
-            return min(exact) if len(exact) == 1 else -1
-        near = self.index.near(s)
-        if near:
-            return self._best(s, near)
-        # a known wording inside a longer phrase, the longest first
-        for phrase, entry in self.phrases:
-            k = len(phrase)
-            if len(phrase) < len(clean) and any(clean[i : i + k] == phrase for i in range(len(clean) - k + 1)):
-                if not {"not", "no", "never"} & set(clean):
-                    return entry
-        return -1
-
-    def _best(self, s: str, near: list[tuple[int, str]]) -> int:
-        ranked = sorted((weighted_edits(s, f), -self.counts.get(e, 0), e) for _, f in near for e in self.index.forms[f])
-        return ranked[0][2]
-
-
-class NameMatcher:
-    """Names made of a maker and a trade, several makers in more than one trade."""
-
-    def __init__(self, entries: Mapping[str, int], counts: Mapping[int, int] | None = None) -> None:
-        self.counts = counts or {}
-        self.full, self.makers = DeleteIndex(2), DeleteIndex(2)
-        self.pairs: dict[tuple[str, str], int] = {}
-        self.owners: dict[str, set[int]] = {}
-        self.trades: dict[str, str] = {}
-        for name, entry in entries.items():
-            parts = words(simplify(name))
-            if not parts:
-                continue
-            maker, trade = parts[0], "".join(parts[1:])
-            self.full.add(maker + trade, entry)
-            self.owners.setdefault(maker, set()).add(entry)
-            self.makers.add(maker, entry)
-            if trade:
-                self.pairs[maker, trade] = entry
-                self.trades[trade] = trade
-                self.trades.setdefault(skeleton(" ".join(parts[1:])), trade)
-        self.by_length = sorted(self.trades, key=lambda t: (-len(t), t))
-
-    def _bare(self, value: str) -> list[list[str]]:
-        """Readings of a value as words: decorations off, parts in either order."""
-        s = re.sub(r"\([^()]*\)\s*$", "", simplify(value)).strip()
-        s = re.sub(rf"\s+-\s+(?:{'|'.join(ASIDES)})\s*$", "", s)
-        s = re.sub(r"\b([a-z])\.(?:([a-z])\.?)?(?:([a-z])\.)?(?=\s|$|,)", lambda m: "".join(g or "" for g in m.groups()), s)
-        forms = []
-
-        def trimmed(w: list[str]) -> list[str]:
-            while len(w) > 1 and w[0] in LEADS:
-                w = w[1:]
-            while len(w) > 1 and w[-1] in LEGAL_FORMS:
-                w = w[:-1]
-            return w
-
-        head, comma, tail = s.rpartition(",")
-        if comma and not [x for x in words(tail) if x not in LEGAL_FORMS]:
-            s, comma = head, ""
-        if comma:
-            forms.append(trimmed(words(tail)) + trimmed(words(head)))
-        if " by " in s:
-            what, _, who = s.partition(" by ")
-            forms.append(trimmed(words(who)) + trimmed(words(what)))
-        forms.append(trimmed(words(s)))
-        return [f for f in forms if f]
-
-    def find(self, value: str) -> int:
-        readings = self._bare(value)
-        for r in readings:
-            s = "".join(r)
-            hit = self.full.forms.get(s)
-            if hit:
-                return min(hit)
-            if s in self.owners:
-                return min(self.owners[s]) if len(self.owners[s]) == 1 else -1
-        best: tuple[float, int, int] | None = None
-        for r in readings:
-            for c in self._candidates(r):
-                if best is None or c < best:
-                    best = c
-        return best[2] if best else -1
-
-    def _candidates(self, r: list[str]) -> list[tuple[float, int, int]]:
-        s = "".join(r)
-        for t in self.by_length:
-            if s.endswith(t) and len(s) > len(t):
-                maker, trade = s[: -len(t)], self.trades[t]
-                if (maker, trade) in self.pairs:
-                    return [(0.0, 0, self.pairs[maker, trade])]
-                if maker in self.owners:
-                    return []  # this maker in a trade that is not listed
-                near = [f for _, f in self.makers.near(maker)]
-                got = [(weighted_edits(maker, f), self.pairs[f, trade]) for f in near if (f, trade) in self.pairs]
-                return [(w, -self.counts.get(e, 0), e) for w, e in got]
-        near = [(f, e) for _, f in self.full.near(s) for e in self.full.forms[f]]
-        out = [(weighted_edits(s, f), -self.counts.get(e, 0), e) for f, e in near]
-        if not out and len(r) == 1:
-            # a maker's name alone, misspelt once
-            out = [(weighted_edits(s, f), 0, min(self.owners[f])) for _, f in self.makers.near(s, 1) if len(self.owners[f]) == 1]
-        return out
-
-
-def build(entries: Iterable[tuple[int, str, str]], counts: Mapping[int, int]) -> dict[str, object]:
-    """field -> matcher for (entry_id, field, canonical) rows; null and blank canonicals are passed over."""
-    by_field: dict[str, dict[str, int]] = {}
-    for entry, field, canonical in entries:
-        if field and canonical and canonical.strip():
-            by_field.setdefault(field, {})[canonical] = entry
-    wordings = {"stock_status": STOCK_FORMS, "published": PUBLISHED_FORMS}
-    return {f: PhraseMatcher(e, wordings[f], counts) if f in wordings else NameMatcher(e, counts) for f, e in by_field.items()}
-
-
-#: Distinct values whose answer a Python worker remembers before it starts afresh.
-MEMORY = 200_000
-
-
-def matched(rows: DataFrame, vocabulary: DataFrame, fields: Iterable[str], key: str = "row_id") -> DataFrame:
+            return exact[0]["entry_id"]
+        alone = [h for h in hs if h["kind"] == ALONE and h["text"] == h["form"]]
+        if alone:
+            return alone[0]["entry_id"] if alone[0]["owners"] == 1 else -1
+    ranked: list[tuple[float, int, int]] = []
+    for hs in by_reading.values():
+        trades = [h["split"] for h in hs if h["kind"] == TRADE]
+        if trades:
+            at = min(trades)  # the longest trade
+            pairs = [h for h in hs if h["kind"] == PAIR and h["split"] == at]
+            exact = [h for h in pairs if h["text"] == h["form"]]
+            if exact:
+                ranked.append((0.0, 0, exact[0]["entry_id"]))
+            elif not any(h["kind"] == MAKER and h["split"] == at for h in hs):
+                near = [h for h in pairs if edits(h["text"], h["form"], m := allowed_edits(len(h["form"]), NAME_EDITS)) <= m]
+                ranked += [(weighted_edits(h["text"], h["form"]), -h["n"], h["entry_id"]) for h in near]
+            continue
+        near = [h for h in hs if h["kind"] == FORM and edits(h["text"], h["form"], m := allowed_edits(len(h["form"]), NAME_EDITS)) <= m]
+        if not near:
+            near = [h for h in hs if h["kind"] == ALONE and h["owners"] == 1 and edits(h["text"], h["form"], m := min(1, allowed_edits(len(h["form"]), NAME_EDITS))) <= m]
+        ranked += [(weighted_edits(h["text"], h["form"]), -h["n"], h["entry_id"]) for h in near]
+    return min(ranked)[2] if ranked else -1
+
+
+# -------------------------------------------------------------------- the joins
+def measured_side(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """`df`, written already, with a broadcast hint if its rows are small as measured."""
+    size = df.agg(F.sum(sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(64)))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def learned_wordings(corrections: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(field, wording, canonical): what logged corrections say a wording means.
+
+    `corrections` has field, outcome, before_text and after_text. Only changes into a canonical value of
+    the field count; a wording is learned if AGREED of its corrections agree. Blank wordings and
+    canonical values themselves are none. Partial counts cross the shuffle, not rows.
+    """
+    listed = vocabulary.where(F.col("canonical").isNotNull()).select(F.col("field").alias("__f"), F.col("canonical").alias("__c")).distinct()
+    told = corrections.where((F.col("outcome") == "changed") & ~is_blank(F.col("before_text"))).groupBy("field", "before_text", "after_text").agg(F.count(F.lit(1)).alias("n"))
+    meant = told.join(small_side(listed), (F.col("field") == F.col("__f")) & (F.col("after_text") == F.col("__c")), "left_semi")
+    one = meant.groupBy("field", F.col("before_text").alias("wording")).agg(F.max_by("after_text", F.struct("n", "after_text")).alias("canonical"), F.max("n").alias("top"), F.sum("n").alias("n"))
+    agreed = one.where(F.col("top") >= AGREED * F.col("n"))
+    return agreed.join(small_side(listed), (F.col("field") == F.col("__f")) & (F.col("wording") == F.col("__c")), "left_anti").select("field", "wording", "canonical")
+
+
+def build_index(forms: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The delete index (field, kind, key, form, entry_id, owners, n) of forms (field, text, entry_id, n, learned).
+
+    Of entries that share a form the most frequent one stands for it; owners says how many there are.
+    """
+    named = set(names)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in _INDEX.split(", ")]
+        for batch in batches:
+            out = [k for r in batch.itertuples(index=False) for k in form_keys(r.field, r.text, r.entry_id, r.n, r.field in named, r.learned)]
+            yield pd.DataFrame(out, columns=columns).astype({"entry_id": "Int64"})
+
+    each = forms.mapInPandas(rows, _INDEX)
+    return each.groupBy("field", "kind", "key", "form").agg(
+        F.max_by("entry_id", F.struct("n", -F.col("entry_id"))).alias("entry_id"), F.countDistinct("entry_id").alias("owners"), F.max("n").alias("n")
+    )
+
+
+def answers(values: DataFrame, index: DataFrame, names: Iterable[str], longest: int, most_words: int) -> DataFrame:
+    """(field, value, entry_id) of distinct (field, value) rows; values that mean nothing listed are left out."""
+    named = set(names)
+
+    def sought(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in _PROBES.split(", ")]
+        for batch in batches:
+            out = []
+            for f, v in zip(batch["field"], batch["value"]):
+                out += [(f, v, *p) for p in probe_keys(f, v, f in named, longest, most_words)]
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
+
+    probes = values.select("field", "value").mapInPandas(sought, _PROBES)
+    entries = measured_side(index, ("field", "kind", "key", "form"))
+    met = probes.join(entries, ["field", "kind", "key"])
+    hit = F.struct("kind", "reading", "split", "text", "form", "entry_id", "owners", "n")
+    hits = met.groupBy("field", "value").agg(F.collect_set(hit).alias("hits"))
+
+    @F.pandas_udf("long")
+    def choose(field: pd.Series, found: pd.Series) -> pd.Series:
+        picked = []
+        for f, hs in zip(field, found):
+            ordered = sorted((dict(h) for h in hs), key=lambda h: (h["reading"], h["split"], h["kind"], h["form"]))
+            picked.append((best_name if f in named else best_phrase)(ordered))
+        return pd.Series(picked, dtype="int64")
+
+    return hits.select("field", "value", choose("field", "hits").alias("entry_id"))
+
+
+def matched(
+    rows: DataFrame, vocabulary: DataFrame, fields: Iterable[str], key: str = "row_id", wordings: DataFrame | None = None, names: Iterable[str] = ("vendor",)
+) -> DataFrame:
     """(key, field, value, entry_id) of every filled cell that is no canonical value as it stands.
 
-    entry_id is -1 for values that mean none of the list, among them all values of a field without
-    entries. Blank cells give no row; repeated rows give repeated results.
+    `wordings` has (field, wording, canonical), such as `learned_wordings` gives. Fields of `names` hold names made of a
+    maker and a trade; the others phrases. entry_id is -1 for values that mean none of the list, among them all values of
+    a field without entries. Blank cells give no row; repeated rows give repeated results. Null and blank
+    canonical values are passed over; of entries with one canonical value the lowest id counts.
     """
-    spark = rows.sparkSession
-    fields = list(fields)
+    fields, names = list(fields), list(names)
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
     long = rows.select(F.col(key).alias("__key"), F.inline(cells)).where(~is_blank(F.col("value")))
-    listed = vocabulary.where(F.col("field").isin(*fields) & F.col("canonical").isNotNull()).select("entry_id", F.col("field").alias("__f"), F.col("canonical").alias("__c"))
-    entries = [(r["entry_id"], r["__f"], r["__c"]) for r in listed.limit(MAX_ENTRIES + 1).collect()]
-    if len(entries) > MAX_ENTRIES:
-        raise ValueError(f"a reference list of more than {MAX_ENTRIES} entries is not broadcast")
+    listed = vocabulary.where(F.col("field").isin(*fields) & ~is_blank(F.col("canonical"))).groupBy(F.col("field").alias("__f"), F.col("canonical").alias("__c")).agg(F.min("entry_id").alias("entry_id"))
+    listed = checkpointed(listed)
     exact = (F.col("field") == F.col("__f")) & (F.col("value") == F.col("__c"))
-    # one count per entry of the list
-    counts = {r["entry_id"]: r["n"] for r in long.join(small_side(listed), exact).groupBy("entry_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shipped = spark.sparkContext.broadcast((entries, counts))
-
-    @F.pandas_udf("bigint")
-    def lookup(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        matchers, memory = build(*shipped.value), {}
-        for field, value in batches:
-            out = []
-            for f, v in zip(field, value):
-                hit = memory.get((f, v))
-                if hit is None:
-                    if len(memory) >= MEMORY:
-                        memory.clear()
-                    m = matchers.get(f)
-                    hit = memory[f, v] = m.find(v) if m else -1
-                out.append(hit)
-            yield pd.Series(out, dtype="int64")
-
-    rest = long.join(small_side(listed.select("__f", "__c")), exact, "left_anti")
-    return rest.select(F.col("__key").alias(key), "field", "value", lookup("field", "value").alias("entry_id"))
-
+    values = checkpointed(long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")))  # the distinct values, counted
+    small = measured_side(listed, ("__f", "__c"))
+    seen = values.join(small, exact).select("entry_id", F.col("n").alias("__n"))
+    counted = listed.join(seen.withColumnRenamed("entry_id", "__e"), F.col("entry_id") == F.col("__e"), "left").select(
+        F.col("__f").alias("field"), F.col("__c").alias("text"), "entry_id", F.coalesce("__n", F.lit(0)).alias("n"), F.lit(False).alias("learned")
+    )
+    forms = counted
+    if wordings is not None:
+        known = wordings.select(F.col("field").alias("__wf"), F.col("wording"), F.col("canonical").alias("__wc"))
+        forms = forms.unionByName(
+            known.join(counted, (F.col("__wf") == F.col("field")) & (F.col("__wc") == F.col("text"))).select("field", F.col("wording").alias("text"), "entry_id", "n", F.lit(True).alias("learned"))
+        )
+    index = checkpointed(build_index(forms, names))
+    # two numbers: how long a form is, and of how many words a phrase may be
+    longest, most_words = index.agg(F.max(F.length("form")), F.max(F.when(F.col("kind") == INNER, F.size(F.split("form", " "))))).first()
+    asked = values.join(small, exact, "left_anti")
+    found = checkpointed(answers(asked, index, names, longest or 0, most_words or 0))
+    rest = long.join(small.select("__f", "__c"), exact, "left_anti")
+    told = measured_side(found.select(F.col("field").alias("__af"), F.col("value").alias("__av"), "entry_id"), ("__af", "__av"))
+    out = rest.join(told, (F.col("field") == F.col("__af")) & (F.col("value") == F.col("__av")), "left")
+    return out.select(F.col("__key").alias(key), "field", "value", F.coalesce("entry_id", F.lit(-1).cast("bigint")).alias("entry_id"))
