@@ -37,7 +37,7 @@ def test_packing_round_trip(spark):
     rows = [(i, n, 1, 2) for i, n in enumerate(lengths)] + [(5, lengths[5], 1, 2), (None, 7, 1, 2)]
     df = spark.createDataFrame(rows, "doc_id long, n_tokens long, container_id int, piece int")
     sizes = {1: 100, 2: 256}
-    packed = pk.pack(df, sizes, buckets=4)
+    packed = pk.pack(df.repartition(5), sizes)
     got = packed.collect()
     for p, cap in sizes.items():
         mine = [r for r in got if r["pack_id"] == p]
@@ -62,6 +62,23 @@ def test_packing_round_trip(spark):
         pk.pack(df, {1: 0})
 
 
+def test_full_cuts_are_containers_of_their_own(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, 64 * rng.randrange(1, 40) if i % 50 else rng.randrange(1, 64)) for i in range(1500)]  # nearly all pieces are full
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long").repartition(6)
+    got = [tuple(r) for r in pk.pack(df, {7: 64}).collect()]
+    load = Counter()
+    for r in got:
+        load[r[1]] += r[5]
+    least = -(-sum(n for _, n in rows) // 64)
+    assert max(load.values()) <= 64 and set(load) == set(range(len(load))) and len(load) <= least * 1.02 + 1
+    assert sum(r[5] == 64 for r in got) > 0.98 * len(got) and sum(r[5] for r in got) == sum(n for _, n in rows)
+    # the plan never sees them
+    assert pk.Places({7: {64: 10**9, 10: 6}}, {7: 64}, 0.01).planned == {7: 1}
+    monkeypatch.setattr(pk, "OFFSET_ROWS", 0)
+    assert Counter(r["container_id"] for r in pk.pack(df, {7: 64}).collect()).keys() == load.keys()
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world", "a"), (2, None, "b"), (3, "", "b"), (4, "word " * 50_000, None)], "doc_id long, text string, n_tokens string")
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts(df).collect()}

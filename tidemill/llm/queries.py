@@ -64,6 +64,26 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(packed, sizes).withColumn("fill", F.round("fill", 6))
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing whatever it is: per capacity, texts packed whole, and what went wrong."""
+    tokens = token_counts(table(spark, sf_dir, "documents"))
+    packed, sizes = _packed(spark, sf_dir)
+    capacity = F.try_element_at(F.create_map(*[F.lit(x).cast("bigint") for pc in sorted(sizes.items()) for x in pc]), F.col("pack_id"))
+    size = packed.withColumn("capacity", capacity)
+    texts = size.groupBy("pack_id", "capacity", "doc_id").agg(F.sum("n_tokens").alias("packed"), F.count(F.lit(1)).alias("cuts"), F.max("n_tokens").alias("longest"))
+    held = tokens.select(F.col("doc_id").alias("__d"), "n_tokens")
+    each = texts.join(held, F.col("doc_id") == F.col("__d"), "full")
+    lost = F.count_if(~F.col("packed").eqNullSafe(F.col("n_tokens")))
+    # a text is cut as seldom as it can be, so one that fits is whole
+    needless = F.count_if(F.col("cuts") != F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")), F.lit(1)))
+    whole = each.groupBy("pack_id", "capacity").agg(F.count(F.lit(1)).alias("texts"), lost.alias("lost"), needless.alias("needless_cuts"))
+    least = F.ceil(F.sum("t") / F.first("capacity"))
+    filled = size.groupBy("pack_id", "capacity", "container_id").agg(F.sum("n_tokens").alias("t")).groupBy(F.col("pack_id").alias("__p")).agg(
+        F.count_if(F.col("t") > F.col("capacity")).alias("overfull"), (F.count(F.lit(1)) <= least * 1.02 + 1).alias("nearly_full")
+    )
+    return whole.join(filled, F.col("pack_id") == F.col("__p")).drop("__p")
+
+
 # ----------------------------------------------------------------- 8: mixing
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = {r["source"]: mixing.Target(r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "mix_target").collect()}  # fixed and small
@@ -78,6 +98,19 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_target")).withColumn("actual_share", F.round("actual_share", 6))
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the mixture: per target, shares within a hundredth, repeats within the cap, only its own documents."""
+    mixed = _mixed(spark, sf_dir)
+    targets = table(spark, sf_dir, "mix_target")
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"))
+    strays = mixed.join(own, (F.col("doc_id") == F.col("__d")) & (F.col("source") == F.col("__s")), "left_anti").groupBy(F.col("source").alias("__of")).agg(F.count(F.lit(1)).alias("strays"))
+    reached = mixing.shares(mixed, targets).join(strays, F.col("source") == F.col("__of"), "left")
+    return reached.select(
+        "source", (F.abs(F.col("actual_share") - F.col("target_share")) <= 0.01).alias("share_reached"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_cap"),
+        F.coalesce("strays", F.lit(0)).alias("strays"), (F.col("documents") > 0).alias("used"),
+    )
+
+
 # -------------------------------------------------------------- 9: languages
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = language.segments(table(spark, sf_dir, "documents"))
@@ -91,7 +124,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p6_found, p6_golden, p7_packed, p7_fill, p8_mixture, p8_shares, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p6_found, p6_golden, p7_packed, p7_fill, p7_invariants, p8_mixture, p8_shares, p8_invariants, p9_found, p9_segments)}
 
 _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?\\s*(Z|[+-][0-9]{2}:?[0-9]{2})?$".replace("\\\\", "\\")
 _FULL = lambda f: f"({f} IS NOT NULL AND trim({f}) NOT IN ('', '-', '--', 'n/a', 'N/A'))::INT"
@@ -107,6 +140,9 @@ CASE WHEN same THEN line = first_line ELSE place = 1 AND level = 1 END AS won FR
 _BEST = lambda f: f"first({f} ORDER BY place, line, row_id) FILTER (has_{f} = 1)"
 _LOOSE = [f for f in FIELDS if f not in LADDER.compare]
 SQL: dict[str, str] = {
+    # no SQL counts tokens; these state what has to hold of any right packing and mixture
+    "p7_invariants": """SELECT pack_id, capacity_tokens AS capacity, (SELECT count(*) FROM documents) AS texts, 0::BIGINT AS lost, 0::BIGINT AS needless_cuts, 0::BIGINT AS overfull, true AS nearly_full FROM pack_size""",
+    "p8_invariants": """SELECT source, true AS share_reached, true AS within_cap, 0::BIGINT AS strays, true AS used FROM mix_target""",
     "p6_found": f"{_RANKED} SELECT feed_id, row_id, backfills FROM b WHERE won",
     "p6_golden": f"""{_RANKED} SELECT feed_id, k AS sku_key, count(*) AS n_rows, NOT bool_or(won) AS tied, max(row_id) FILTER (won) AS survivor, max(backfills) FILTER (won) AS backfills,
 {", ".join(f"{_BEST(f)} AS {f}" for f in LADDER.compare)},
