@@ -38,6 +38,7 @@ def test_held_out_accuracy(model):
 def test_sentences():
     text = "Wide Mouth Clamp (RU591-1652)\n\nSlate Apron (GI758-1301) Wipe the tray with a damp cloth. <p>Is it made of steel &amp; oak?</p> https://a.b/c.d EAN 123. このやかんは鋼でできています。\nPY1-2 | 3 | 4.50"
     assert [s for _, s in lg.sentences(text)] == ["Wipe the tray with a damp cloth.", "Is it made of steel & oak?", "このやかんは鋼でできています。"]
+    assert [len(lg.sentences(t)) for t in ("one two three.", "one two three four.", "a 1-2 b c3d.", "a b c d.", "x" * 50_000 + " y z.", "abcd.", "a_b_c_d.")] == [0, 1, 1, 1, 0, 0, 1]
     assert lg.sentences(None) == lg.sentences("") == lg.sentences("USB-C Cable 5") == []
 
 
@@ -61,15 +62,17 @@ def test_documents(spark, model):
     assert next(r for r in rows if r["doc_id"] == 8)["n_sentences"] == 3000
     assert {r["doc_id"] for r in rows if r["lang"] is None} == {5, 6, 7}
     assert all(0 < r["confidence"] <= 1 for r in rows if r["lang"])
-    found = sorted((r["doc_id"], r["lang"]) for r in lg.mislabelled(lg.languages(parts)).collect())
+    by = lg.languages(spark.createDataFrame(docs, DOCS), model=model)
+    found = sorted((r["doc_id"], r["lang"]) for r in lg.mislabelled(by).collect())
     assert found == [(2, "de"), (2, "en"), (3, "pt"), (4, "da")]
+    assert sorted((r["doc_id"], r["n_sentences"], r["n_langs"]) for r in by.collect()) == [(1, 2, 1), (1, 2, 1), (2, 1, 2), (2, 2, 2), (3, 1, 1), (4, 1, 1), (8, 3000, 1)]
     assert lg.segments(spark.createDataFrame([], DOCS), model=model).count() == 0
 
 
 def test_fitting_from_a_table(spark):
     docs = [(i, " ".join(t), c, None, 0, 0) for i, (c, t) in enumerate(list(TEXTS.items()) * 12)]
     df = spark.createDataFrame(docs, DOCS)
-    got = {r["doc_id"]: r["lang"] for r in lg.languages(lg.segments(df)).collect()}
+    got = {r["doc_id"]: r["lang"] for r in lg.languages(df).collect()}
     assert got == {d[0]: d[2] for d in docs}
     assert lg.segments(df.limit(0)).count() == 0
 

@@ -58,10 +58,11 @@ _NOISE = re.compile(r"<[^>]*>|(?:https?:)?//\S+|www\.\S+|\S+@\S+\.\S+")
 # a name and its code in brackets, as headings and lead-ins of product texts have it
 _CODED = re.compile(r"(?:(?<=[.!?。！？\n])|^)[^.!?。！？\n]*?\((?=[^()]*\d)[A-Za-z]{1,4}\d[\w-]*\)[\s:,-]*", re.M)
 _CODE = re.compile(r"#?\b(?=\w*\d)(?=\w*[A-Za-z])[\w]+-[\w-]*\d[\w-]*\b")
-_END = re.compile(r"(?<=[.!?])(?=[\s\"'”»)]|$)|(?<=[。！？])|\n+")
+_END = re.compile(r"[.!?](?=[\s\"'”»)]|$)|[。！？]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _CYRILLIC = re.compile(r"[\u0400-\u04ff]")
 _WORD = re.compile(r"[^\W\d_]+")
+_FOUR_WORDS = re.compile(r"(?:[\W\d_]*[^\W\d_]+(?=[\W\d_]|$)){4}")
 
 
 def sentences(text: str | None) -> list[tuple[int, str]]:
@@ -69,14 +70,19 @@ def sentences(text: str | None) -> list[tuple[int, str]]:
     if not text:
         return []
     clean = html.unescape(_NOISE.sub("\n", text)) if "<" in text or "&" in text or "//" in text or "@" in text or "www." in text else text
-    clean = _CODE.sub(" ", _CODED.sub("\n", clean))
-    out = []
-    for s in _END.split(clean):
-        s = s.strip(" \t\r\n-*•\"'“”«»|")
-        if not s or s[-1] not in ".!?。！？":
-            continue
-        if len(_WORD.findall(s)) >= 4 or len(_CJK.findall(s)) >= 6:
-            out.append((len(out), s))
+    # the patterns need these marks, and most texts have none
+    if "(" in clean:
+        clean = _CODED.sub("\n", clean)
+    if "-" in clean:
+        clean = _CODE.sub(" ", clean)
+    out: list[tuple[int, str]] = []
+    for line in clean.split("\n"):
+        start = 0
+        for end in _END.finditer(line):
+            s = line[start : end.end()].strip(" \t\r\n-*•\"'“”«»|")
+            start = end.end()
+            if s and s[-1] in ".!?。！？" and (_FOUR_WORDS.match(s) or len(_CJK.findall(s)) >= 6):
+                out.append((len(out), s))
     return out
 
 
@@ -131,49 +137,65 @@ class Model:
     pairs: list[tuple[str, str]] = field(default_factory=list)
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Decision values, worked out for CHUNK_CHARS characters at a time whatever the batch."""
-        out, start, size = [np.zeros((0, self.weights.shape[1]), dtype=np.float32)], 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= CHUNK_CHARS or i == len(texts) - 1:
-                out.append(self._scores(texts[start : i + 1]))
-                start, size = i + 1, 0
-        return np.vstack(out)
-
-    def _scores(self, texts: list[str]) -> np.ndarray:
-        f, o = ngrams(texts)
-        count = np.bincount(o, minlength=len(texts))
-        order = np.argsort(o, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(count)[:-1]])
-        sums = np.add.reduceat(self.weights[f[order]], np.minimum(starts, max(0, len(f) - 1)), axis=0) if len(f) else np.zeros((len(texts), self.weights.shape[1]))
-        sums[count == 0] = 0
-        return (sums * (SCALE / np.maximum(1, count))[:, None] + self.bias).astype(np.float32)
-
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and confidence of each text; the confidence is the chance implied by the closest decision."""
+        """Language and confidence of each text; the confidence is the chance implied by the closest decision.
+
+        Equal texts are scored once, and CHUNK_CHARS characters at a time whatever the batch.
+        """
         if not texts:
             return [], np.zeros(0)
-        s = self.scores(texts)
-        k = len(self.families)
-        fam = s[:, :k].argmax(axis=1)
-        ranked = np.sort(s[:, :k], axis=1)
+        number: dict[str, int] = {}
+        at = np.array([number.setdefault(t, len(number)) for t in texts])
+        langs, sure, start, size = [], [], 0, 0
+        different = list(number)
+        for i, t in enumerate(different):
+            size += len(t)
+            if size >= CHUNK_CHARS or i == len(different) - 1:
+                found, chance = self._predict(different[start : i + 1])
+                langs += found
+                sure.append(chance)
+                start, size = i + 1, 0
+        return [langs[i] for i in at], np.concatenate(sure)[at]
+
+    def _predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        feats, owner = ngrams(texts)
+        count = np.bincount(owner, minlength=len(texts))
+        order = np.argsort(owner, kind="stable")
+        feats, ends = feats[order], np.cumsum(count)
+        scale = (SCALE / np.maximum(1, count))[:, None]
+
+        def decide(rows: np.ndarray, machines: slice) -> np.ndarray:
+            """Decision values of some machines for some of the texts, from the n-grams hashed once."""
+            n = count[rows]
+            first = np.cumsum(n) - n
+            which = np.repeat(ends[rows] - n - first, n) + np.arange(n.sum())
+            sums = np.zeros((len(rows), machines.stop - machines.start), dtype=np.float32)
+            some = np.flatnonzero(n)
+            if len(some):
+                sums[some] = np.add.reduceat(self.weights[feats[which], machines], first[some], axis=0)
+            return sums * scale[rows] + self.bias[machines]
+
+        # the families first, then only the pairs of the family that won
+        every, k = np.arange(len(texts)), len(self.families)
+        s = decide(every, slice(0, k))
+        fam = s.argmax(axis=1)
+        ranked = np.sort(s, axis=1)
         margin = ranked[:, -1] - ranked[:, -2] if k > 1 else np.full(len(texts), 4.0)
-        column = {p: k + i for i, p in enumerate(self.pairs)}
-        langs, sure = np.empty(len(texts), dtype=object), np.empty(len(texts))
+        langs, sure, at = np.empty(len(texts), dtype=object), np.empty(len(texts)), k
         for i, name in enumerate(self.families):
-            rows = np.flatnonzero(fam == i)
+            codes, rows = self.known[name], np.flatnonzero(fam == i)
+            machines = slice(at, at + len(codes) * (len(codes) - 1) // 2)
+            at = machines.stop
             if not len(rows):
                 continue
-            codes = self.known[name]
+            d = decide(rows, machines)
             votes, least = np.zeros((len(rows), len(codes))), np.full((len(rows), len(codes)), np.inf)
-            for a in range(len(codes)):
-                for b in range(a + 1, len(codes)):
-                    d = s[rows, column[codes[a], codes[b]]]
-                    votes[:, a] += d >= 0
-                    votes[:, b] += d < 0
-                    least[:, a] = np.minimum(least[:, a], d)
-                    least[:, b] = np.minimum(least[:, b], -d)
+            for j, (a, b) in enumerate(self.pairs[machines.start - k : machines.stop - k]):
+                a, b = codes.index(a), codes.index(b)
+                votes[:, a] += d[:, j] >= 0
+                votes[:, b] += d[:, j] < 0
+                least[:, a] = np.minimum(least[:, a], d[:, j])
+                least[:, b] = np.minimum(least[:, b], -d[:, j])
             best = (votes + 1e-3 * np.tanh(np.where(np.isfinite(least), least, 0))).argmax(axis=1)
             langs[rows] = np.array(codes, dtype=object)[best]
             sure[rows] = np.minimum(margin[rows], 2 * least[np.arange(len(rows)), best])
@@ -291,54 +313,76 @@ def sample(documents: DataFrame, text: str, lang: str, per_label: int = SAMPLE_D
     return {code: [found[i] for i in rng.permutation(len(found))[:SAMPLE_SENTENCES]] for code, found in out.items()}
 
 
-_SEGMENTS = "doc_id long, code string, segment int, n_sentences int, lang string, confidence double, chars long, text string"
+_SEGMENTS = "doc_id long, code string, segment int, n_sentences int, lang string, confidence double, chars long"
+_LANGUAGES = "doc_id long, code string, lang string, n_sentences long, confidence double, n_langs int"
 
 
-def segments(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None) -> DataFrame:
-    """One row per document and run of sentences of one language:
+def _fitted(documents: DataFrame, text: str, lang: str, model: Model | None) -> Model:
+    if model is not None:
+        return model
+    samples = sample(documents, text, lang)
+    return fit(samples) if any(samples.values()) else Model(np.zeros((FEATURES, 0), np.float32), np.zeros(0, np.float32), [])
 
-    doc_id, code (what its label names, or null), segment, n_sentences, lang, confidence (mean of
-    the sentences), chars, text. A document without a full sentence gives one row with a null
-    lang, and so does every document if no label of the table names a language. Whole texts are read, of any length; null and empty texts have no sentences.
-    """
-    if model is None:
-        samples = sample(documents, text, lang)
-        model = fit(samples) if any(samples.values()) else Model(np.zeros((FEATURES, 0), np.float32), np.zeros(0, np.float32), [])
-    shipped = documents.sparkSession.sparkContext.broadcast(vars(model))
+
+def _read(documents: DataFrame, key: str, text: str, lang: str, model: Model | None, shape: str, rows_of) -> DataFrame:
+    """Every document's sentences classified in Arrow batches; `rows_of` makes rows of (doc, code, sentences, languages, confidences)."""
+    shipped = documents.sparkSession.sparkContext.broadcast(vars(_fitted(documents, text, lang, model)))
+    columns = [c.split()[0] for c in shape.split(", ")]
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(**shipped.value)
         for batch in batches:
             found = [sentences(t) if m.families else [] for t in batch["text"]]
-            flat = [plain(s) for ss in found for _, s in ss]
-            langs, sure = m.predict(flat)
+            # sentences repeat, within a text and between texts: each is made plain once
+            number: dict[str, int] = {}
+            flat = np.array([number.setdefault(s, len(number)) for ss in found for _, s in ss], dtype=np.int64)
+            names, chances = m.predict([plain(s) for s in number])
+            langs, sure = [names[i] for i in flat], chances[flat]
             out, at = [], 0
             for doc, code, ss in zip(batch["doc_id"], batch["code"], found):
-                if not ss:
-                    out.append((doc, code, 0, 0, None, None, 0, None))
-                    continue
-                start = 0
-                mine, conf = langs[at : at + len(ss)], sure[at : at + len(ss)]
+                out += rows_of(doc, code, ss, langs[at : at + len(ss)], sure[at : at + len(ss)])
                 at += len(ss)
-                for i in range(1, len(ss) + 1):
-                    if i == len(ss) or mine[i] != mine[start]:
-                        part = " ".join(s for _, s in ss[start:i])
-                        out.append((doc, code, start, i - start, mine[start], float(conf[start:i].mean()), len(part), part))
-                        start = i
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SEGMENTS.split(", ")])
+            yield pd.DataFrame(out, columns=columns)
 
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), label_code(F.col(lang)).alias("code"))
-    return rows.mapInPandas(classify, _SEGMENTS)
+    return rows.mapInPandas(classify, shape)
+
+
+def segments(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None) -> DataFrame:
+    """One row per document and run of sentences of one language:
+
+    doc_id, code (what its label names, or null), segment, n_sentences, lang, confidence (mean of
+    the sentences), chars. A document without a full sentence gives one row with a null
+    lang, and so does every document if no label of the table names a language. Whole texts are read, of any length; null and empty texts have no sentences.
+    """
+
+    def runs(doc, code, ss, langs, sure):
+        if not ss:
+            return [(doc, code, 0, 0, None, None, 0)]
+        out, start = [], 0
+        for i in range(1, len(ss) + 1):
+            if i == len(ss) or langs[i] != langs[start]:
+                out.append((doc, code, start, i - start, langs[start], float(sure[start:i].mean()), sum(len(s) + 1 for _, s in ss[start:i]) - 1))
+                start = i
+        return out
+
+    return _read(documents, key, text, lang, model, _SEGMENTS, runs)
+
+
+def languages(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None) -> DataFrame:
+    """(doc_id, code, lang, n_sentences, confidence, n_langs): one row per document and language of its sentences.
+
+    Documents without a full sentence give none. A document is read as one, so nothing is shuffled;
+    repeated rows give repeated results.
+    """
 
+    def totals(doc, code, ss, langs, sure):
+        by: dict[str, list[float]] = {}
+        for name, x in zip(langs, sure):
+            by.setdefault(name, []).append(float(x))
+        return [(doc, code, name, len(xs), sum(xs) / len(xs), len(by)) for name, xs in by.items()]
 
-def languages(parts: DataFrame) -> DataFrame:
-    """(doc_id, code, lang, n_sentences, confidence, n_langs): one row per document and language."""
-    by = parts.where(F.col("lang").isNotNull()).groupBy("doc_id", "code", "lang").agg(
-        F.sum("n_sentences").alias("n_sentences"), (F.sum(F.col("confidence") * F.col("n_sentences")) / F.sum("n_sentences")).alias("confidence")
-    )
-    listed = by.groupBy("doc_id", "code").agg(F.collect_list(F.struct("lang", "n_sentences", "confidence")).alias("all"))
-    # at most as many as there are languages
-    return listed.select("doc_id", "code", F.size("all").alias("n_langs"), F.explode("all").alias("x")).select("doc_id", "code", "n_langs", "x.*")
+    return _read(documents, key, text, lang, model, _LANGUAGES, totals)
 
 
 def mislabelled(by_language: DataFrame) -> DataFrame:

@@ -113,8 +113,7 @@ def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -------------------------------------------------------------- 9: languages
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = language.segments(table(spark, sf_dir, "documents"))
-    return language.mislabelled(language.languages(parts)).select("doc_id", "lang")
+    return language.mislabelled(language.languages(table(spark, sf_dir, "documents"))).select("doc_id", "lang")
 
 
 def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
