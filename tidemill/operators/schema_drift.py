@@ -11,6 +11,7 @@ Only schema-sized data reaches Python; the cells themselves are compared by an a
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,12 +49,13 @@ def value_type(c: Column) -> Column:
 
 
 def _headers(rows: DataFrame) -> DataFrame:
-    """(feed_id, place, header): the headers of each file as written, at each place they have in a record.
+    """(feed_id, header, place): the headers of each file as written, and the last place each has in a record.
 
     Records of a file mostly have the same headers, so whole lists are made distinct before they are taken apart.
     """
     lists = rows.select("feed_id", F.map_keys("original").alias("hs")).groupBy("feed_id", "hs").agg(F.count(F.lit(1)).alias("n"))
-    return lists.select("feed_id", F.posexplode("hs").alias("place", "header"))
+    each = lists.select("feed_id", F.posexplode("hs").alias("place", "header"))
+    return each.groupBy("feed_id", "header").agg(F.max("place").alias("place"))
 
 
 def _key(header: Column) -> Column:
@@ -139,6 +141,7 @@ def _grams(s: str) -> set[str]:
     return {padded[i : i + 3] for i in range(len(padded) - 2)}
 
 
+@lru_cache(maxsize=100_000)
 def name_likeness(a: str, b: str) -> float:
     """Share of common trigrams of two folded names."""
     x, y = _grams(a), _grams(b)
@@ -170,14 +173,15 @@ def flood(before: list[dict], now: list[dict], evidence: dict[tuple[str, str], f
     root = node("file", None, None, 1.0)
     pairs = [(a, b, 0.5 * name_likeness(a["key"], b["key"]) + evidence.get((a["key"], b["key"]), 0.0) + 0.05) for a in gone for b in new]
     pairs += [(held[e["key"]], e, 1.0) for e in now if e["key"] in held]
+    nests = set()
     for a, b, first in pairs:
         pair = node("header", a["key"], b["key"], first)
         links["word"] += [(pair, node("word", u, v, name_likeness(u, v))) for u in a["key"].split() for v in b["key"].split()]
         links["type"].append((pair, node("type", a["type"], b["type"], float(a["type"] == b["type"]))))
         nest = node("nest", a["in_extra"], b["in_extra"], float(a["in_extra"] == b["in_extra"]))
         links["nest"].append((pair, nest))
-        if (nest, root) not in links["file"]:
-            links["file"].append((nest, root))
+        nests.add(nest)
+    links["file"] = [(nest, root) for nest in sorted(nests)]
     ends, weights = [], []
     for edges in links.values():
         if edges:
@@ -247,12 +251,16 @@ def match_series(schema: pd.DataFrame, agreed: pd.DataFrame) -> pd.DataFrame:
     shares: dict[object, dict[tuple[str, str], float]] = {}
     for r in agreed.itertuples(index=False):
         shares.setdefault(r.feed_id, {})[(r.gone_key, r.new_key)] = r.share
+    files: dict[int, list[dict]] = {}
+    for place, feed, key, header, field, kind, in_extra in zip(*(schema[c] for c in ("place", "feed_id", "key", "header", "field", "type", "in_extra"))):
+        listed = field if isinstance(field, str) else None
+        files.setdefault(place, []).append({"feed": feed, "key": key, "header": header, "field": listed, "type": kind, "in_extra": bool(in_extra)})
     out, lines = [], {}
     kinds: dict[str, set[str]] = {}
     before: dict[str, dict] | None = None
-    for _, rows in schema.sort_values(["place", "feed_id"]).groupby("place", sort=True):
-        feed = rows["feed_id"].iloc[0]
-        now = {r.key: {"key": r.key, "header": r.header, "field": r.field if isinstance(r.field, str) else None, "type": r.type, "in_extra": bool(r.in_extra)} for r in rows.itertuples(index=False)}
+    for _, headers in sorted(files.items()):
+        feed = headers[0]["feed"]
+        now = {e["key"]: e for e in sorted(headers, key=lambda e: e["key"])}
         lineage: dict[str, str] = {}
         if before is None:
             for k, e in now.items():
@@ -349,7 +357,7 @@ def unified(rows: DataFrame, matched: DataFrame, fields: Iterable[str]) -> DataF
     """
     fields = list(fields)
     names = matched.where(F.col("drift").isNull() | (F.col("drift") != "removed")).select(F.col("feed_id").alias("__file"), F.col("key").alias("__key"), "lineage", "common_type")
-    heads = _headers(rows).groupBy("feed_id", "header").agg(F.min("place").alias("place")).withColumn("key", _key(F.col("header")))
+    heads = _headers(rows).withColumn("key", _key(F.col("header")))
     known = heads.join(names, (F.col("feed_id") == F.col("__file")) & (F.col("key") == F.col("__key")))
     # of each file: the headers of each field and of all other columns, in order
     own_field = F.col("lineage").isin(*fields)
