@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.numbers import plain_decimal
 from tidemill.functions.text import fold, is_blank, let, tidy
-from tidemill.session import checkpointed, small_side
+from tidemill.session import checkpointed, measured_side, small_side
 
 #: Share of the skus with both cells for which they must agree.
 AGREEMENT = 0.8
@@ -115,7 +115,7 @@ def agreements(rows: DataFrame, lone: DataFrame, skus: DataFrame) -> DataFrame:
     per_file = sides.groupBy("__of").agg(F.collect_list(F.struct("pair", "old", "wanted")).alias("sides"))  # at most two a file
     wanted = per_file.join(skus.withColumnRenamed("feed_id", "__file"), F.col("__of") == F.col("__file")).select("__of", "sides", F.col("headers").alias("__skus"))
     cell = lambda h: F.try_element_at(F.col("original"), h)
-    joined = rows.select("feed_id", "line", "original").join(small_side(wanted), F.col("feed_id") == F.col("__of"))
+    joined = rows.select("feed_id", "line", "original").join(measured_side(checkpointed(wanted)), F.col("feed_id") == F.col("__of"))
     named = F.filter(F.transform("__skus", cell), lambda v: ~is_blank(v))
     keyed = joined.withColumn("sku", fold(F.element_at(named, F.when(F.size(named) > 0, F.lit(-1))))).where(F.col("sku") != "")
     each = keyed.select("line", "original", "sku", F.inline("sides"))
@@ -367,7 +367,7 @@ def unified(rows: DataFrame, matched: DataFrame, fields: Iterable[str]) -> DataF
     )
     by_field = F.struct(*[F.transform(F.filter("__listed", lambda e: e["lineage"] == f), lambda e: e["header"]).alias(f) for f in fields])  # noqa: B023
     placed = per_file.select("__file", by_field.alias("__fields"), "__rest")
-    joined = rows.select("row_id", "feed_id", "line", "original").join(small_side(placed), F.col("feed_id") == F.col("__file"), "left")
+    joined = rows.select("row_id", "feed_id", "line", "original").join(measured_side(checkpointed(placed)), F.col("feed_id") == F.col("__file"), "left")
     in_record = lambda h: F.map_contains_key(F.col("original"), h)
 
     def first_cell(field: str) -> Column:
