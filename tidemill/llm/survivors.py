@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.codes import iso_seconds
 from tidemill.functions.text import fold, is_blank, is_filled
-from tidemill.session import checkpointed
+from tidemill.session import checkpointed, measured_bytes
 
 
 @dataclass(frozen=True)
@@ -60,10 +60,9 @@ def rows_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows whose key is one of `keys`: by broadcast if these are small as measured, else joined in SALT parts a key."""
     names = keys.columns
     found = checkpointed(keys)
-    width = found.agg(F.sum(sum((F.length(F.col(k).cast("string")) + 24 for k in names[1:]), F.length(F.col(names[0]).cast("string")) + 24))).first()[0] or 0
     on = found.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(names)])
     same = [F.col(k) == F.col(f"__key_{i}") for i, k in enumerate(names)]
-    if width <= KEYS_LIMIT_BYTES:
+    if measured_bytes(on) <= KEYS_LIMIT_BYTES:
         return rows.join(F.broadcast(on), same, "left_semi")
     spread = on.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALT)).cast("int"))

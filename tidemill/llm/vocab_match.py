@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import is_blank
-from tidemill.session import checkpointed, small_side
+from tidemill.session import checkpointed, measured_side, small_side
 
 #: A side of a join is broadcast up to this size, measured.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -278,12 +278,6 @@ def best_name(hits: list[dict]) -> int:
 
 
 # -------------------------------------------------------------------- the joins
-def measured_side(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """`df`, written already, with a broadcast hint if its rows are small as measured."""
-    size = df.agg(F.sum(sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(64)))).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def learned_wordings(corrections: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(field, wording, canonical): what logged corrections say a wording means.
 
@@ -334,7 +328,7 @@ def answers(values: DataFrame, index: DataFrame, names: Iterable[str], longest:
             yield pd.DataFrame(out, columns=columns)
 
     probes = values.select("field", "value").mapInPandas(sought, _PROBES)
-    entries = measured_side(index, ("field", "kind", "key", "form"))
+    entries = measured_side(index, BROADCAST_BYTES)
     met = probes.join(entries, ["field", "kind", "key"])
     hit = F.struct("kind", "reading", "split", "text", "form", "entry_id", "owners", "n")
     hits = met.groupBy("field", "value").agg(F.collect_set(hit).alias("hits"))
@@ -367,7 +361,7 @@ def matched(
     listed = checkpointed(listed)
     exact = (F.col("field") == F.col("__f")) & (F.col("value") == F.col("__c"))
     values = checkpointed(long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")))  # the distinct values, counted
-    small = measured_side(listed, ("__f", "__c"))
+    small = measured_side(listed, BROADCAST_BYTES)
     seen = values.join(small, exact).select("entry_id", F.col("n").alias("__n"))
     counted = listed.join(seen.withColumnRenamed("entry_id", "__e"), F.col("entry_id") == F.col("__e"), "left").select(
         F.col("__f").alias("field"), F.col("__c").alias("text"), "entry_id", F.coalesce("__n", F.lit(0)).alias("n"), F.lit(False).alias("learned")
@@ -384,6 +378,6 @@ def matched(
     asked = values.join(small, exact, "left_anti")
     found = checkpointed(answers(asked, index, names, longest or 0, most_words or 0))
     rest = long.join(small.select("__f", "__c"), exact, "left_anti")
-    told = measured_side(found.select(F.col("field").alias("__af"), F.col("value").alias("__av"), "entry_id"), ("__af", "__av"))
+    told = measured_side(found.select(F.col("field").alias("__af"), F.col("value").alias("__av"), "entry_id"), BROADCAST_BYTES)
     out = rest.join(told, (F.col("field") == F.col("__af")) & (F.col("value") == F.col("__av")), "left")
     return out.select(F.col("__key").alias(key), "field", "value", F.coalesce("entry_id", F.lit(-1).cast("bigint")).alias("entry_id"))
