@@ -136,6 +136,12 @@ def test_command_line(spark, tmp_path, capsys):
     listed = [r["name"] for r in grid.list_folder(spark, tmp_path / "one", sort="name").collect()]
     assert listed == ["changes.csv", "clean.csv", "clean.xlsx", "rejects.csv", "summary.txt"]
     assert grid.read_table(spark, tmp_path / "one/clean.csv").count() == 1
+    (tmp_path / "ragged.csv").write_bytes(b'a,surplus\r\n1\r\n3,4,"x, ""y""\nz",\r\n5,6\r\n')
+    assert [tuple(r)[1:] for r in grid.read_csv(spark, tmp_path / "ragged.csv").collect()] == [("1", "", []), ("3", "4", ['x, "y"\nz', ""]), ("5", "6", [])]
+    sizes = grid.list_folder(spark, tmp_path, "*.csv", sort="size").collect()
+    assert [(r["name"], r["type"], r["size"]) for r in sizes][-1] == ("zero.csv", "CSV", "0 B") and sizes[0]["modified"].count("-") == 2
+    shown = spark.createDataFrame([(1023,), (1536,), (5_000_000_000,)], "n long")
+    assert [r[0] for r in shown.orderBy("n").select(grid.shown_size(F.col("n"))).collect()] == ["1,023 B", "1.5 KB", "4768.4 MB"]
     with pytest.raises(ValueError):
         grid.read_table(spark, tmp_path / "p.json")
 

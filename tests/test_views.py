@@ -13,6 +13,10 @@ def test_views(spark):
     assert [r["tint"] for r in view.tinted(df, {"a": F.col("i") > 17, "b": F.col("i") > 16}).orderBy("i").collect()][-3:] == ["b", "a", "a"]
     with pytest.raises(ValueError):
         view.view(df, ["nope"], "i")
+    wide = spark.createDataFrame([("5", "a b c d e f g", "1"), ("1,200.5", "short", "x"), ("", "", "2")], "n string, words string, m string")
+    assert terminal_table(wide, ["n", "words", "m"], width=7, wrap="words").splitlines() == [
+        "      n  words    m", "-------  -------  -", "      5  a b c d  1", "         e f g", "1,200.5  short    x", "                  2",
+    ]
     text = terminal_table(df.orderBy("i"), ["i", "name"], limit=2)
     assert text.splitlines()[-1] == "... and 18 more" and len(text.splitlines()) == 5
 

@@ -56,13 +56,13 @@ def money_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("l_orderkey", "l_linenumber", (F.col("m.amount") * 100).cast("bigint").alias("cents"), F.col("m.currency").alias("currency"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN 'more than one number in ' WHEN 1 THEN 'no number in ' WHEN 2 THEN 'is not a currency' WHEN 3 THEN 'cannot tell decimals' ELSE NULL END AS problem FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN 'several amounts' WHEN 1 THEN 'no amount' WHEN 2 THEN 'an amount beside' WHEN 3 THEN 'decimals or thousands' ELSE NULL END AS problem FROM lineitem")
 def money_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     whole = F.floor(F.col("l_extendedprice")).cast("bigint").cast("string")
     cell = rotated([F.concat(F.lit("$"), whole, F.lit(" / $"), whole), F.lit("TBC"), F.concat(whole, F.lit(" per pair")), F.concat(whole, F.lit(".1234")), F.lit("n/a")], _turn())
     p = li.select("l_orderkey", "l_linenumber", numbers.parse_money(cell)["error"].alias("e"))
-    kinds = F.regexp_extract("e", "(more than one number in |no number in |is not a currency|cannot tell decimals)", 1)
+    kinds = F.regexp_extract("e", "(several amounts|no amount|an amount beside|decimals or thousands)", 1)
     return p.select("l_orderkey", "l_linenumber", F.nullif(kinds, F.lit("")).alias("problem"))
 
 
@@ -116,7 +116,7 @@ def gtin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 1) THEN CAST(200000000000 + p_partkey AS VARCHAR) || CAST({_EAN_SQL} AS BIGINT) END AS barcode,
-CASE p_partkey % 4 WHEN 2 THEN 'check digit' WHEN 3 THEN 'digits lost' END AS problem FROM part""")
+CASE p_partkey % 4 WHEN 2 THEN 'its other digits' WHEN 3 THEN 'power of ten' END AS problem FROM part""")
 def barcode_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     good = ean(F.lit(200000000000) + F.col("p_partkey"))
@@ -124,7 +124,7 @@ def barcode_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     spaced = F.concat(F.left(good, F.lit(1)), F.lit("-"), F.substring(good, 2, 6), F.lit(" "), F.substring(good, 8, 6))
     b = codes.parse_barcode(rotated([good, spaced, wrong, F.lit("2.01E+12")], F.col("p_partkey")))
     r = p.select("p_partkey", b.alias("b"))
-    return r.select("p_partkey", F.col("b.value").alias("barcode"), F.nullif(F.regexp_extract("b.error", "(check digit|digits lost)", 1), F.lit("")).alias("problem"))
+    return r.select("p_partkey", F.col("b.value").alias("barcode"), F.nullif(F.regexp_extract("b.error", "(its other digits|power of ten)", 1), F.lit("")).alias("problem"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'https://img.example/' || p_partkey || '.jpg' WHEN 1 THEN 'HTTP://img.example/' || p_partkey WHEN 2 THEN 'https://cdn.example/a/' || p_partkey || '.png' END AS url,

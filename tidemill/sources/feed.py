@@ -32,11 +32,14 @@ def _schema(n: int) -> str:
 
 
 def check_utf8(spark: SparkSession, path: str) -> None:
-    """Raise if a file is missing or is not UTF-8, which the CSV reader would pass over."""
+    """Raise if a file is missing or is not UTF-8, which the CSV reader would pass over.
+
+    Lines are looked at where they are read, so a file of any size is checked in parts.
+    """
     from pyspark.errors import AnalysisException
 
     try:
-        bad = spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path").limit(1).collect()
+        bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).collect()
     except AnalysisException as e:
         raise UnreadableInput(f"{path}: there is no such file") from e
     if bad:

@@ -8,21 +8,37 @@ import zipfile
 from pathlib import Path
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.numbers import format_decimals
+from tidemill.operators.outputs import free_name
+from tidemill.operators.strict_load import csv_record
 
-ORDER = "row_number"
+ORDER, SURPLUS = "row_number", "surplus"
 
 
 def read_csv(spark: SparkSession, path: str | Path) -> DataFrame:
-    """Text columns named by the header; rows numbered from 0; short rows padded with ''."""
+    """Text columns named by the header; rows numbered from 0; short rows padded with ''.
+
+    A long row keeps its further cells in `surplus` (numbered if a header has that name), an array
+    that is empty in all others.
+    """
     reader = spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    df = reader.csv(str(path))
-    if not df.columns:
+    names = reader.csv(str(path)).columns
+    if not names:
         raise ValueError(f"{path}: an empty file")
-    return df.fillna("").select(F.monotonically_increasing_id().alias(ORDER), "*")
+    odd = free_name("record", names)
+    # the reader sets aside the text of records that have other than the header's number of cells
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*names, odd])
+    df = reader.option("columnNameOfCorruptRecord", odd).schema(schema).csv(str(path))
+    held = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    cells = csv_record(F.regexp_replace(held(odd), r"\r?\n\z", ""))["cells"]
+    more = F.when(F.size(cells) > len(names), F.slice(cells, len(names) + 1, F.size(cells)))
+    return df.select(
+        F.monotonically_increasing_id().alias(ORDER), *[F.coalesce(held(c), F.lit("")).alias(c) for c in names],
+        F.coalesce(more, F.array().cast("array<string>")).alias(free_name(SURPLUS, names)),
+    )
 
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -82,15 +98,35 @@ def read_xlsx(spark: SparkSession, path: str | Path, sheet: str | None = None) -
     return spark.createDataFrame(body, ", ".join([f"{ORDER} long", *(f"`{h.replace('`', '``')}` string" for h in head)]))
 
 
+def shown_size(count: Column) -> Column:
+    """Bytes as whole numbers, and from 1,024 on as kilobytes or megabytes to one decimal."""
+    mega = F.format_string("%.1f MB", count / 1048576)
+    return F.when(count < 1024, F.concat(F.format_number(count, 0), F.lit(" B"))).when(count < 1048576, F.format_string("%.1f KB", count / 1024)).otherwise(mega)
+
+
 def list_folder(spark: SparkSession, path: str | Path, pattern: str = "*", sort: str = "name") -> DataFrame:
-    """(name, type, size, modified) of a folder's files, by name or by size from the largest; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(str(path))
-    name = F.element_at(F.split("path", "/"), -1)
-    suffix = F.regexp_extract(name, r"\.([^.]+)$", 1)
-    out = files.select(name.alias("name"), F.when(suffix == "", F.lit("file")).otherwise(suffix).alias("type"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    """(name, type, size, modified, bytes) of a folder's files, by name or by size from the largest; contents are not read.
+
+    type is the ending in capitals, size as a file manager shows it, modified the day.
+    """
+    # asked of the file system, as the file reader passes over empty files
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(str(path))
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        raise FileNotFoundError(path)
+    held = [s for s in system.globStatus(hadoop.Path(folder, pattern)) or [] if s.isFile()]
+    rows = [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in held]
+    files = spark.createDataFrame(rows, "file string, length long, at long").withColumn("modificationTime", F.timestamp_millis("at"))
+    name = F.col("file")
+    suffix = F.regexp_extract(name, r".\.([^.]+)$", 1)
+    out = files.select(
+        name.alias("name"), F.when(suffix == "", F.lit("file")).otherwise(F.upper(suffix)).alias("type"), shown_size(F.col("length")).alias("size"),
+        F.date_format("modificationTime", "yyyy-MM-dd").alias("modified"), F.col("length").alias("bytes"),
+    )
     if sort not in ("name", "size"):
         raise ValueError(f"sort by name or size, not {sort!r}")
-    return out.orderBy("name") if sort == "name" else out.orderBy(F.desc("size"), "name")
+    return out.orderBy("name") if sort == "name" else out.orderBy(F.desc("bytes"), "name")
 
 
 def read_table(spark: SparkSession, path: str | Path, sheet: str | None = None) -> DataFrame:
