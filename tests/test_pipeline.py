@@ -50,7 +50,23 @@ def test_ladder_rungs(spark):
     assert (g["v"]["title"], g["v"]["vendor"], g["v"]["image_url"], g["backfills"]) == ("Kept words", "Quillmark Tools", "https://i.example/x", 3)
     fills = [(c["field"], c["before"], c["after"], c["note"]) for c in g["changes"] if c["rule"] == "dedupe.backfill"]
     assert ("image_url", "", "https://i.example/x", "was empty, from line 17") in fills
-    assert got[8]["issues"][0]["rule"] == "duplicate_unresolved" and "differ in title (" in got[8]["issues"][0]["message"]
+    assert got[8]["issues"][0]["rule"] == "duplicate_unresolved" and got[8]["issues"][0]["message"] == "title P q vs P r: none of 2 rows is newer or fuller (lines 8, 9)"
+    assert [c["note"] for c in got[8]["changes"] if c["rule"] == "dedupe.unresolved"] == ["tied with lines 9"]
+    assert [c["note"] for c in got[15]["changes"] if c["rule"] == "dedupe.keep"] == ["best of 3 rows (newest updated_at), without lines 16, 17"]
+
+
+def test_large_ties_are_told_in_bounds_and_joined_in_parts(spark, monkeypatch):
+    rows = [{"sku": "T", "title": f"Thing {i:02d}", "tags": "ab"[i % 2], "vendor": f"V{i}", "price": str(i + 1)} for i in range(40)] + [{"sku": "", "title": "x"}, {"sku": "S", "title": "y"}]
+    want = deduped(spark, rows)
+    tied = want[2]["issues"][0]["message"]
+    assert tied.startswith("title Thing 00 vs Thing 01 vs Thing 02 vs Thing 03 vs Thing 04 vs 35 more; vendor V0 vs V1 vs ") and "; 1 more fields: none of 40 rows" in tied
+    assert tied.endswith("(lines 2, 3, 4, 5, 6, 7, 8, 9, 10, 11 and 30 more)")
+    note = [c["note"] for c in want[2]["changes"] if c["rule"] == "dedupe.unresolved"][0]
+    assert note == "tied with lines 3, 4, 5, 6, 7, 8, 9, 10, 11 and 30 more"
+    from tidemill.operators import dedupe
+
+    monkeypatch.setattr(dedupe, "BROADCAST_LIMIT_BYTES", 0)
+    assert deduped(spark, rows) == want
 
 
 def test_run_conserves_rows_and_logs_everything(spark):

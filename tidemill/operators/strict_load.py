@@ -108,6 +108,7 @@ def _price_rule(c: Column) -> Column:
     def rule(m: Column) -> Column:
         return F.when(m["amount"].isNull(), F.lit("price.format")).when(m["amount"] <= 0, F.lit("price_not_positive"))
 
+    # only rows are filtered by this, and a filter would draw steps laid out over columns into itself
     return F.when(c.isNotNull(), F.when(_is_empty(c), F.lit("missing_price")).otherwise(let(parse_money(c), rule)))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import casing, codes, numbers, text, units
+from tidemill.functions.staged import with_columns
 from tidemill.operators import view
 from tidemill.operators.dedupe import deduplicate
 from tidemill.operators.normalize import normalize
@@ -52,7 +53,7 @@ def _turn() -> Column:
 @query(f"SELECT l_orderkey, l_linenumber, {_CENTS} AS cents, CASE (l_orderkey + l_linenumber) % 6 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 4 THEN NULL ELSE 'USD' END AS currency FROM lineitem")
 def money_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    p = li.select("l_orderkey", "l_linenumber", numbers.parse_money(dirty_price(_cents(), _turn())).alias("m"))
+    p = with_columns(li.select("l_orderkey", "l_linenumber", dirty_price(_cents(), _turn()).alias("cell")), {"m": (numbers.MONEY, {"c": F.col("cell")})})
     return p.select("l_orderkey", "l_linenumber", (F.col("m.amount") * 100).cast("bigint").alias("cents"), F.col("m.currency").alias("currency"))
 
 
@@ -61,8 +62,8 @@ def money_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     whole = F.floor(F.col("l_extendedprice")).cast("bigint").cast("string")
     cell = rotated([F.concat(F.lit("$"), whole, F.lit(" / $"), whole), F.lit("TBC"), F.concat(whole, F.lit(" per pair")), F.concat(whole, F.lit(".1234")), F.lit("n/a")], _turn())
-    p = li.select("l_orderkey", "l_linenumber", numbers.parse_money(cell)["error"].alias("e"))
-    kinds = F.regexp_extract("e", "(several amounts|no amount|an amount beside|decimals or thousands)", 1)
+    p = with_columns(li.select("l_orderkey", "l_linenumber", cell.alias("cell")), {"m": (numbers.MONEY, {"c": F.col("cell")})})
+    kinds = F.regexp_extract("m.error", "(several amounts|no amount|an amount beside|decimals or thousands)", 1)
     return p.select("l_orderkey", "l_linenumber", F.nullif(kinds, F.lit("")).alias("problem"))
 
 
@@ -74,7 +75,8 @@ def number_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = F.concat(F.format_number(whole, 0), F.lit("."), rest)
     plain = F.concat(whole.cast("string"), F.lit(","), rest)
     cell = rotated([us, F.translate(us, ".,", ",."), plain], _turn())
-    return li.select("l_orderkey", "l_linenumber", (numbers.parse_number(cell)["value"] * 100).cast("bigint").alias("cents"))
+    p = with_columns(li.select("l_orderkey", "l_linenumber", cell.alias("cell")), {"n": (numbers.NUMBER, {"c": F.col("cell")})})
+    return p.select("l_orderkey", "l_linenumber", (F.col("n.value") * 100).cast("bigint").alias("cents"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size * 10 WHEN 1 THEN p_size * 10000
@@ -102,7 +104,7 @@ def quantity_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity").cast("bigint").cast("string")
     cell = rotated([F.concat(q, F.lit(",000")), F.concat(q, F.lit("000")), F.concat(F.lit(" "), q, F.lit(" 000 ")), F.concat(q, F.lit(" pcs"))], _turn())
-    p = li.select("l_orderkey", "l_linenumber", numbers.parse_quantity(cell).alias("p"))
+    p = with_columns(li.select("l_orderkey", "l_linenumber", cell.alias("cell")), {"p": (numbers.QUANTITY, {"c": F.col("cell")})})
     return p.select("l_orderkey", "l_linenumber", F.coalesce("p.value", F.lit(-1)).alias("quantity"), F.col("p.error").isNotNull().alias("refused"))
 
 
