@@ -120,8 +120,33 @@ UNION ALL SELECT record_id, CASE WHEN price IN ('', '-', '--', 'n/a', 'N/A') THE
 WHERE price IN ('', '-', '--', 'n/a', 'N/A') OR NOT readable OR minus OR regexp_full_match(d, '[0.,]+')
 UNION ALL SELECT record_id, 'barcode_invalid' FROM q WHERE code NOT IN ('', '-', '--', 'n/a', 'N/A', '0')
 AND NOT (regexp_full_match(b, '[0-9]+') AND length(b) IN (8, 12, 13, 14) AND CASE WHEN regexp_full_match(b, '[0-9]+') THEN {_DIGIT} = CAST(right(b, 1) AS INTEGER) ELSE false END)"""
+_TIDIED = "trim(regexp_replace({}, '[\\s\\x{{a0}}\\x{{200b}}\\x{{feff}}]+', ' ', 'g'))"
+_KEY = f"coalesce(nullif({_FOLDED.format('h')}, ''), h)"
+# no series here has two rivals for one header, so no score has to decide
+_P5 = f"""WITH f AS (SELECT feed_id, lag(feed_id) OVER (PARTITION BY series_id ORDER BY received_at, feed_id) AS before FROM feed_file WHERE kind = 'original' AND feed_id IN (SELECT feed_id FROM feed_original)),
+al AS (SELECT {_FOLDED.format('header')} AS key, min(field) AS field FROM header_alias GROUP BY 1),
+c0 AS (SELECT feed_id, line, extra, unnest(map_keys(original)) AS h, unnest(map_values(original)) AS v FROM feed_original),
+c AS (SELECT feed_id, line, h, {_KEY} AS key, {_TIDIED.format('v')} AS v, len(map_extract(extra, h)) > 0 AS in_extra FROM c0),
+t AS (SELECT c.*, al.field, CASE WHEN coalesce(v, '') = '' OR NOT in_extra THEN NULL WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN 'whole' WHEN regexp_full_match(v, '[+-]?[0-9]*[.,][0-9]+') THEN 'decimal'
+WHEN lower(v) IN ('true', 'false', 'yes', 'no', 'y', 'n', 't', 'f', 'on', 'off') THEN 'truth' WHEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ][0-9:.]+(Z|[+-][0-9]{{2}}:?[0-9]{{2}})?)?') THEN 'date' ELSE 'text' END AS kind FROM c LEFT JOIN al USING (key)),
+n0 AS (SELECT feed_id, key, kind, count(*) AS n FROM t WHERE kind IS NOT NULL GROUP BY feed_id, key, kind), n AS (SELECT *, sum(n) OVER (PARTITION BY feed_id, key) AS filled FROM n0),
+y AS (SELECT feed_id, key, max(kind) FILTER (n >= 0.9 * filled) AS type FROM n GROUP BY feed_id, key),
+e AS (SELECT feed_id, key, min(h) AS header, bool_or(in_extra) AS in_extra, min(field) AS field FROM t GROUP BY feed_id, key),
+g AS (SELECT f.feed_id, f.before, e.* EXCLUDE (feed_id) FROM f JOIN e ON e.feed_id = f.before WHERE NOT EXISTS (FROM e x WHERE x.feed_id = f.feed_id AND x.key = e.key)),
+w AS (SELECT f.feed_id, f.before, e.* EXCLUDE (feed_id) FROM f JOIN e ON e.feed_id = f.feed_id WHERE f.before IS NOT NULL AND NOT EXISTS (FROM e x WHERE x.feed_id = f.before AND x.key = e.key)),
+s AS (SELECT feed_id, sku, min(line) AS line FROM (SELECT feed_id, line, max({_FOLDED.format('v')}) AS sku FROM t WHERE field = 'sku' AND v <> '' GROUP BY feed_id, line) WHERE sku <> '' GROUP BY feed_id, sku),
+a AS (SELECT t.feed_id, s.sku, t.key, t.v FROM t JOIN s USING (feed_id, line) WHERE t.v <> ''),
+p AS (SELECT w.feed_id, g.key AS old_key, w.key AS new_key, avg((x.v = z.v)::INT) AS share FROM w JOIN g ON g.feed_id = w.feed_id AND (g.field IS NULL OR w.field IS NULL)
+JOIN a x ON x.feed_id = g.before AND x.key = g.key JOIN a z ON z.feed_id = w.feed_id AND z.key = w.key AND z.sku = x.sku GROUP BY w.feed_id, g.key, w.key),
+m AS (SELECT feed_id, old_key, new_key FROM p WHERE share >= 0.8 - 1e-9 UNION SELECT w.feed_id, g.key, w.key FROM w JOIN g ON g.feed_id = w.feed_id AND g.field = w.field)
+SELECT feed_id, header, CASE WHEN EXISTS (FROM m WHERE m.feed_id = w.feed_id AND m.new_key = w.key) THEN 'renamed' ELSE 'added' END AS drift FROM w
+UNION ALL SELECT feed_id, header, 'removed' FROM g WHERE NOT EXISTS (FROM m WHERE m.feed_id = g.feed_id AND m.old_key = g.key)
+UNION ALL SELECT f.feed_id, e.header, 'retyped' FROM f JOIN e ON e.feed_id = f.feed_id JOIN y ON y.feed_id = f.feed_id AND y.key = e.key JOIN y b ON b.feed_id = f.before AND b.key = e.key WHERE e.in_extra AND y.type <> b.type"""
 SQL: dict[str, str] = {
     "p3_found": _P3,
+    "p3_loaded": f"""WITH bad AS ({_P3}), h AS (SELECT feed_id, CAST(len(regexp_extract_all(',' || header, ',{_CELL}', 1)) AS INTEGER) AS n_cells FROM feed_file WHERE kind = 'raw')
+SELECT record_id, feed_id, line, n_cells FROM raw_record JOIN h USING (feed_id) WHERE record_id NOT IN (SELECT record_id FROM bad)""",
+    "p5_found": _P5,
     "p4_profile": f"""{_COUNTS} SELECT feed_id, field_name, count(*) AS rows, count(*) - count(value) AS blanks, count(DISTINCT value) AS distinct_values, min(value) AS min_value, max(value) AS max_value,
 count(*) FILTER (value IS NOT NULL AND {_BROKEN}) AS bad_form, {_QUARTILES} FROM v GROUP BY feed_id, field_name""",
     "p4_distances": f"{_COUNTS} SELECT feed_id, field_name, round(ks, 6) AS ks, round(shift, 6) AS shift FROM e WHERE feed_id IN (SELECT feed_id FROM p WHERE before IS NOT NULL)",
