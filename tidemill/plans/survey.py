@@ -378,12 +378,98 @@ def feed_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("line", "sku", "role", "reason", "backfills", "rejected", "needs_review", F.size("changes").alias("n_changes"), F.size("issues").alias("n_issues"))
 
 
+# ------------------------------------------- fields and rungs that the runs above do not reach
+_FIELDS_PROFILE = build_profile({"columns": {"sku": []}, "booleans": {"true": ["yes", "on"], "false": ["no"]}, "required": ["sku"]})
+_ODD = "p_partkey % 5 = 0"
+
+
+@query(f"""SELECT p_partkey AS line, CASE WHEN {_ODD} THEN NULL ELSE p_size || '000' END AS weight_g, CASE WHEN {_ODD} THEN NULL ELSE p_size || '0 x ' || (p_size + 1) || '0 x ' || (p_size + 2) || '0' END AS edges,
+CASE WHEN {_ODD} THEN NULL ELSE p_size || '000' END AS quantity, CASE WHEN {_ODD} THEN NULL WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END AS published, CASE WHEN p_partkey % 2 = 0 THEN 'true' END AS taxable,
+CASE WHEN {_ODD} THEN NULL ELSE p_size || '.50' END AS cost, CASE WHEN {_ODD} THEN 'cost.format dimensions.unit published.vocabulary quantity.format weight.unit' ELSE 'cost.currency_mismatch' END AS rules,
+CASE WHEN {_ODD} THEN 'heavy' ELSE p_size || ' KG' END AS weight_before, CASE WHEN {_ODD} THEN '' ELSE p_size || '000' END AS weight_after FROM part""")
+def fields_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, dimensions, counts, flags and costs through the whole normaliser, and what it says of those it refuses."""
+    p = table(spark, sf_dir, "part")
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    odd = lambda bad, good: F.when(k % 5 == 0, F.lit(bad)).otherwise(good)
+    later = lambda i: (F.col("p_size") + i).cast("string")
+    rows = p.select(
+        k.alias("line"), F.concat(F.lit("P"), k.cast("string")).alias("sku"), odd("heavy", F.concat(n, F.lit(" KG"))).alias("weight"), odd("big", F.concat_ws(" x ", n, later(1), F.concat(later(2), F.lit("cm")))).alias("dimensions"),
+        odd("lots", F.concat(n, F.lit(",000"))).alias("quantity"), odd("perhaps", F.when(k % 2 == 0, F.lit(" Yes")).otherwise(F.lit("NO"))).alias("published"), F.when(k % 2 == 0, F.lit("on")).otherwise(F.lit("")).alias("taxable"),
+        odd("ask", F.concat(F.lit("EUR "), n, F.lit(",50"))).alias("cost"),
+    )
+    done = normalize(from_table(rows, _FIELDS_PROFILE).rows, _FIELDS_PROFILE)
+    edges = F.nullif(F.concat_ws(" x ", "v.length_mm", "v.width_mm", "v.height_mm"), F.lit(""))
+    weighed = F.get(F.filter("changes", lambda c: c["rule"] == "weight.unit"), F.lit(0))
+    return done.select(
+        F.col("line").cast("bigint").alias("line"), "v.weight_g", edges.alias("edges"), "v.quantity", "v.published", "v.taxable", "v.cost",
+        F.array_join(F.array_sort(F.transform("issues", lambda x: x["rule"])), " ").alias("rules"), weighed["before"].alias("weight_before"), weighed["after"].alias("weight_after"),
+    )
+
+
+@query("""SELECT p_partkey, 'USB-C Plug-in' || CASE WHEN p_partkey % 2 = 0 THEN ' Lamp of ' || p_size || 'mm (LED)' ELSE ' Ip' || p_size || '/B4' END AS cased FROM part""".replace("' Ip' ||", "' IP' ||"))
+def title_compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acronyms, minor words, measurements and compounds in titles."""
+    n = F.col("p_size").cast("string")
+    tail = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" LAMP OF "), n, F.lit("MM (LED)"))).otherwise(F.concat(F.lit(" IP"), n, F.lit("/B4")))
+    cased = casing.title_case(F.concat(F.lit("USB-C PLUG-IN"), tail), {"usb-c": "USB-C", "led": "LED"}, ["of", "in"])
+    return table(spark, sf_dir, "part").select("p_partkey", cased.alias("cased"))
+
+
+@query(_LADDER_SQL + """, j AS (SELECT *, CASE WHEN n = 1 THEN 'single' WHEN same THEN CASE WHEN line = first_line THEN 'kept' ELSE 'dropped' END WHEN n_day = 1 THEN CASE WHEN coalesce(day, DATE '0001-01-01') = top_day THEN 'kept' ELSE 'dropped' END
+WHEN n_core = 1 THEN CASE WHEN lead THEN 'kept' ELSE 'dropped' END ELSE 'tied' END AS role, bool_or(title <> '') OVER (PARTITION BY sku) AS filler FROM c)
+SELECT count(*) AS rows_in, count(*) FILTER (role = 'dropped') AS dropped, count(*) FILTER (role = 'tied') AS tied, count(DISTINCT sku) FILTER (n > 1) AS groups, count(*) FILTER (n > 1) AS rows_involved,
+count(*) FILTER (role = 'kept' AND title = '' AND filler) AS backfills, count(*) FILTER (role = 'tied') AS rejected FROM j""")
+def summary_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of a run in which most skus are sent more than once."""
+    t = totals(validate(_orders(spark, sf_dir), _ORDER_PROFILE))
+    return t.select("rows_in", "dropped", "tied", "groups", "rows_involved", F.col("backfills").cast("bigint").alias("backfills"), "rejected")
+
+
+@query("""WITH r AS (SELECT c_custkey AS line, 'N' || c_nationkey || ' ' || c_mktsegment AS sku, (c_acctbal < 0)::INT + (c_custkey % 3 = 0)::INT AS filled FROM customer),
+g AS (SELECT *, count(*) OVER w AS n, max(filled) OVER w AS top FROM r WINDOW w AS (PARTITION BY sku)), h AS (SELECT *, sum((filled = top)::INT) OVER (PARTITION BY sku) AS level FROM g)
+SELECT line, CASE WHEN n = 1 THEN 'single' WHEN level > 1 THEN 'tied' WHEN filled = top THEN 'kept' ELSE 'dropped' END AS role, CASE WHEN n > 1 THEN CASE WHEN level > 1 THEN 'unresolved tie' ELSE 'more columns populated' END END AS reason,
+CASE WHEN n > 1 AND level > 1 THEN 'title' END AS differs FROM h""")
+def dedupe_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that only the count of all filled cells can decide, and what a tie is said to differ in."""
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(
+        F.col("c_custkey").alias("line"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string"), F.lit(" "), F.col("c_mktsegment")).alias("sku"), F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")).alias("title"),
+        F.when(F.col("c_acctbal") < 0, F.lit("x")).otherwise(F.lit("")).alias("tags"), F.when(F.col("c_custkey") % 3 == 0, F.lit("y")).otherwise(F.lit("")).alias("product_type"),
+    )
+    done = deduplicate(normalize(from_table(rows, _ORDER_PROFILE).rows, _ORDER_PROFILE))
+    message = F.get(F.filter("issues", lambda x: x["rule"] == "duplicate_unresolved"), F.lit(0))["message"]
+    return done.select("line", "role", "reason", F.nullif(F.regexp_extract(message, "^(title) Customer [0-9]+ vs Customer [0-9]+", 1), F.lit("")).alias("differs"))
+
+
 # -------------------------------------------------------------------- views
 @query("SELECT event_id, event_type FROM (SELECT event_id, event_type, lag(event_type) OVER (ORDER BY event_id) AS was FROM events) WHERE was IS NULL OR event_type <> was")
 def collapse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.collapse_repeats(table(spark, sf_dir, "events"), "event_id", ["event_type"]).select("event_id", "event_type")
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0")
+def rows_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by a value and by a condition of a column."""
+    some = view.rows_where(table(spark, sf_dir, "customer"), "c_mktsegment", "BUILDING")
+    return view.rows_where(some, "c_acctbal", lambda c: c < 0).select("c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 13")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named columns of the first rows."""
+    return view.view(table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"], "o_orderkey")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN false ELSE true END AS numeric, c_custkey % 4 <> 0 AS same FROM customer""")
+def numbers_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which cells a table sets to the right, and a decimal in fixed notation."""
+    k = F.col("c_custkey")
+    cell = rotated([F.concat(F.lit("$"), k.cast("string")), F.concat(F.lit("-"), k.cast("string"), F.lit(".5")), F.concat(k.cast("string"), F.lit(",000")), F.concat(F.lit("+"), k.cast("string"))], k)
+    plain = numbers.plain_decimal((k.cast("decimal(20,6)") / 4).cast("decimal(20,6)"))
+    return table(spark, sf_dir, "customer").select("c_custkey", numbers.looks_numeric(cell).alias("numeric"), F.contains(plain, F.lit(".")).alias("same"))
+
+
 @query("""SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 'warn' END AS tint FROM (SELECT * FROM customer WHERE c_custkey IN (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 5)
 OR c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 50)""")
 def rows_where_head(spark: SparkSession, sf_dir: str) -> DataFrame:
