@@ -3,8 +3,8 @@
 Conversions are edges of a graph, each an affine function y = factor * x + offset. The shortest
 composition from every unit to the canonical unit of its kind is worked out once on the driver,
 every cycle of the graph is checked for consistency, and the rows meet the result in an equi-join
-on (kind, unit). The table has one row per spelling, so it is broadcast: its size is that of the
-unit list, never that of the data.
+on (kind, unit). The table has one row per spelling, so it is small and broadcast; a larger one that a
+caller brings is left to a join on its keys.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.numbers import join_thousands, number
 from tidemill.functions.text import PLACEHOLDERS_WIDE, let, tidy
 from tidemill.functions.units import GRAMS_IN, LENGTH_UNITS, MM_IN, OUNCE_SPELLINGS, POUND_SPELLINGS, WEIGHT_UNITS
+from tidemill.session import small_side
 
 
 class InconsistentUnits(ValueError):
@@ -89,6 +90,11 @@ def standard_graph() -> dict[str, tuple[UnitGraph, str, dict[str, str]]]:
     return {"weight": (weight, "g", WEIGHT_UNITS), "length": (length, "mm", LENGTH_UNITS)}
 
 
+def ounces_a_pound() -> float:
+    """By the graph, so that sums of the two follow its edges."""
+    return float(standard_graph()["weight"][0].compositions("oz")["lb"].factor)
+
+
 def conversion_table(spark: SparkSession, graphs=None) -> DataFrame:
     """(kind, unit, factor, shift, is_common): one row per spelling."""
     rows = []
@@ -109,7 +115,7 @@ def convert(rows: DataFrame, table: DataFrame, kind: str = "kind", unit: str = "
         F.col("kind").alias("__kind"), F.col("unit").alias("__unit"), F.col("factor").alias("__factor"),
         F.col("shift").alias("__shift"), F.col("is_common").alias("__common"),
     )
-    joined = rows.join(F.broadcast(t), (rows[kind] == F.col("__kind")) & (rows[unit] == F.col("__unit")), "left")
+    joined = rows.join(small_side(t), (rows[kind] == F.col("__kind")) & (rows[unit] == F.col("__unit")), "left")
     return joined.withColumns({out: F.col(amount) * F.col("__factor") + F.col("__shift"), "is_common": F.col("__common")}).drop(
         "__kind", "__unit", "__factor", "__shift", "__common"
     )
@@ -210,7 +216,7 @@ def read_weight(cell: Column, unit_cell: Column, description: Column) -> Column:
         return F.struct(read_amount(F.get(one, F.lit(0))).alias("amount"), F.when(one.isNotNull(), unit).alias("unit"))
 
     def summed(two: Column) -> Column:
-        pounds = read_amount(F.get(two, F.lit(0))) + read_amount(F.get(two, F.lit(2))) / 16.0
+        pounds = read_amount(F.get(two, F.lit(0))) + read_amount(F.get(two, F.lit(2))) / F.lit(ounces_a_pound())
         return F.struct(pounds.alias("amount"), F.lower(F.get(two, F.lit(1))).alias("unit"))
 
     def read(t: Column) -> Column:
