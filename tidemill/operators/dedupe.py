@@ -9,7 +9,7 @@ highest and the lowest line that reach the same best rank.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.codes import iso_seconds
@@ -94,7 +94,9 @@ def ladder(rows: DataFrame, key: str = "sku_key") -> DataFrame:
 
 def told(rows: DataFrame, groups: DataFrame, key: str = "sku_key") -> DataFrame:
     """`groups` with lines, the first LINES_SHOWN of each group, and of tied groups disagreements, text of the values that differ."""
-    lines = smallest(rows, [key], "line", LINES_SHOWN, "lines").withColumnRenamed(key, "__of_lines")
+    # only the first of each task reach the sort of a key
+    numbered = rows.select(key, "line").withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy("line"))).where(F.col("__at") <= LINES_SHOWN)
+    lines = numbered.groupBy(F.col(key).alias("__of_lines")).agg(F.array_sort(F.collect_list("line")).alias("lines"))
     tied = groups.where(F.col("winner").isNull()).select(F.col(key).alias("__tied"), F.slice("conflicts", 1, SHOWN).alias("__fields"))
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.nullif(_text(f), F.lit("")), F.lit("(empty)")).alias("value")) for f in COMPARE])
     wanted = rows.join(tied, F.col(key) == F.col("__tied")).select(key, F.inline(F.filter(cells, lambda c: F.array_contains("__fields", c["field"]))))
@@ -129,7 +131,7 @@ def deduplicate(rows: DataFrame, backfill: bool = True) -> DataFrame:
     some = keyed.where(F.col("sku_key") != "")
     repeated = repeated_rows(some, ["sku_key"], "line")
     # of repeated skus only: read by the ladder, and for what is told of the groups
-    repeated = checkpointed(repeated.select("sku_key", "line", "v", "extra"))
+    repeated = repeated.select("sku_key", "line", "v", "extra")
     groups = checkpointed(told(repeated, ladder(repeated)).withColumnRenamed("sku_key", "__key"))
     joined = with_groups(keyed, groups)
     grouped, won = F.col("__key").isNotNull(), F.col("winner") == F.col("line")
@@ -148,8 +150,8 @@ def deduplicate(rows: DataFrame, backfill: bool = True) -> DataFrame:
         return F.concat(F.array_join(F.transform(lines, lambda n: n.cast("string")), ", "), more)
 
     # the lines of the group but one; as they are sorted, at most one of those told is left out
-    but = lambda n: listed(F.array_remove("lines", n), F.greatest(F.col("n_lines") - 1 - F.size(F.array_remove("lines", n)), F.lit(0)))
-    every = listed(F.col("lines"), F.col("n_lines") - F.size("lines"))
+    but = lambda n: listed(F.array_remove("lines", n), F.greatest(F.col("n_rows") - 1 - F.size(F.array_remove("lines", n)), F.lit(0)))
+    every = listed(F.col("lines"), F.col("n_rows") - F.size("lines"))
     events = [
         F.when(F.col("role") == "dropped", change("sku", "dedupe.drop", DROPPED, F.col("sku"), F.lit(""), F.concat(F.lit("line "), line, F.lit(" stays ("), F.col("reason"), F.lit(")")))),
         F.when(kept, change("sku", "dedupe.keep", CHANGED, F.col("sku"), F.col("sku"), F.concat(F.lit("best of "), count, F.lit(" rows ("), F.col("reason"), F.lit("), without lines "), but(F.col("winner"))))),
