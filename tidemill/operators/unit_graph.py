@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.numbers import join_thousands, number
 from tidemill.functions.text import PLACEHOLDERS_WIDE, let, tidy
 from tidemill.functions.units import GRAMS_IN, LENGTH_UNITS, MM_IN, OUNCE_SPELLINGS, POUND_SPELLINGS, WEIGHT_UNITS
-from tidemill.session import small_side
+from tidemill.session import measured_side
 
 
 class InconsistentUnits(ValueError):
@@ -115,7 +115,7 @@ def convert(rows: DataFrame, table: DataFrame, kind: str = "kind", unit: str = "
         F.col("kind").alias("__kind"), F.col("unit").alias("__unit"), F.col("factor").alias("__factor"),
         F.col("shift").alias("__shift"), F.col("is_common").alias("__common"),
     )
-    joined = rows.join(small_side(t), (rows[kind] == F.col("__kind")) & (rows[unit] == F.col("__unit")), "left")
+    joined = rows.join(measured_side(t), (rows[kind] == F.col("__kind")) & (rows[unit] == F.col("__unit")), "left")
     return joined.withColumns({out: F.col(amount) * F.col("__factor") + F.col("__shift"), "is_common": F.col("__common")}).drop(
         "__kind", "__unit", "__factor", "__shift", "__common"
     )
