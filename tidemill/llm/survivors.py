@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.codes import iso_seconds
 from tidemill.functions.text import fold, is_blank, is_filled
-from tidemill.session import checkpointed, measured_bytes
+from tidemill.operators.groups import repeated_rows
 
 
 @dataclass(frozen=True)
@@ -35,8 +35,6 @@ class Ladder:
 
 #: Groups' keys are broadcast up to this size, measured; beyond it rows meet them in a salted join.
 KEYS_LIMIT_BYTES = 32 * 1024 * 1024
-#: Parts a group's rows are spread over in the salted join.
-SALT = 32
 
 
 def rank(ladder: Ladder) -> Column:
@@ -50,25 +48,6 @@ def rank(ladder: Ladder) -> Column:
     return (at * (len(ladder.core) + 1) + total(list(ladder.core))) * (len(ladder.fields) + 1) + total(list(ladder.fields))
 
 
-def repeated_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The keys of two rows or more, by partial counts; rows with a null in a key are left out."""
-    counted = rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return counted.where(F.col("__n") > 1).select(*keys)
-
-
-def rows_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose key is one of `keys`: by broadcast if these are small as measured, else joined in SALT parts a key."""
-    names = keys.columns
-    found = checkpointed(keys)
-    on = found.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(names)])
-    same = [F.col(k) == F.col(f"__key_{i}") for i, k in enumerate(names)]
-    if measured_bytes(on) <= KEYS_LIMIT_BYTES:
-        return rows.join(F.broadcast(on), same, "left_semi")
-    spread = on.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALT)).cast("int"))
-    return salted.join(spread, [*same, F.col("__salt") == F.col("__part")], "left_semi").drop("__salt")
-
-
 def survivors(
     rows: DataFrame, group: Sequence[str], ladder: Ladder, line: str = "line", row: str = "row_id", priority: Column | None = None
 ) -> DataFrame:
@@ -90,7 +69,7 @@ def survivors(
     text = [F.when(is_blank(F.col(f)), F.lit("")).otherwise(F.col(f)) for f in ladder.compare]
     keyed = rows.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], "*")
     # only groups of two or more have anything to decide, so all else stays where it is
-    chosen = rows_of(keyed, repeated_keys(keyed.select(*keys), keys))
+    chosen = repeated_rows(keyed, keys, row, KEYS_LIMIT_BYTES)
     base = chosen.select(
         *keys, F.col(row).alias("__row"), F.coalesce(F.col(line), F.lit(2**62)).alias("__line"),
         (priority if priority is not None else F.lit(0)).alias("__priority"), rank(ladder).alias("__rank"),
